@@ -62,3 +62,23 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components not stable after {most_rounds} rounds")
     members = now.groupBy("u").agg(F.min("v").alias("component")).selectExpr("u AS id", "component")
     return members.unionByName(members.selectExpr("component AS id", "component").distinct())
+
+
+#: Bits of the filter of ``maybe_in``: 8 MB, whatever the number of ids.
+FILTER_BITS = 1 << 26
+
+
+def maybe_in(df: DataFrame, column: str, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of df whose ``column`` may be in the one column of ids: all that are, and few others.
+
+    A bit set of fixed size (``bits`` / 8 bytes, the proven bound of what is broadcast) is built from
+    hashes of the ids. It only saves shuffling; when it fills up more rows pass, none is lost. Follow it
+    with the exact join. Nulls never pass.
+    """
+    place = F.pmod(F.xxhash64(F.col(ids.columns[0]).cast("string")), F.lit(bits))
+    sets = ids.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_set"))
+    own = F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(bits))
+    marked = df.where(F.col(column).isNotNull()).withColumn("_bucket", F.bitmap_bucket_number(own)).withColumn("_at", F.bitmap_bit_position(own))
+    byte = F.conv(F.hex(F.expr("substring(_set, CAST(_at div 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    found = marked.join(F.broadcast(sets), "_bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, CAST(_at % 8 AS INT))")) != 0)
+    return found.select(*df.columns)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runledger.llm import exact_stream, mixing
+from runledger.llm import exact_stream, minhash, mixing, packing
+from runledger.llm.common import stored
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,4 +21,27 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_stream.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op7_exact_dedup)}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the packed matrices of all documents, read them back and return one row a sequence."""
+    rows = stored(packing.pack_best_fit(read(spark, sf_dir, "documents"), tokenizer_path()), "matrices")
+    return rows.select("sequence_id", "n_tokens", "cu_seqlens", "doc_ids", "starts", F.crc32("ids").alias("ids_crc32"))
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_components(read(spark, sf_dir, "documents"), k=2)
+
+
+def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_tiers(read(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_matrices, op3_near_dedup, op4_tier_packing, op7_exact_dedup)}
+
+ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import exact_stream, minhash, mixing, packing
+from runledger.llm import exact_stream, minhash, mixing, packing, pivots, ppm
 from runledger.llm.common import stored
 
 
@@ -42,6 +42,14 @@ def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_matrices, op3_near_dedup, op4_tier_packing, op7_exact_dedup)}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.held_out_prediction(read(spark, sf_dir, "documents"))
+
+
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_matrices, op3_near_dedup, op4_tier_packing, op5_language_id, op7_exact_dedup, op10_near_vectors)}
 
 ORACLES: dict[str, str] = {}

@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 from runledger.llm.common import columns, maybe_in, new_path, stored
 
 SPACES = r"[\x20\x09-\x0D]+"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A store on disk; without space set aside for each of many small parts.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -39,11 +42,12 @@ def keyed_state(spark: SparkSession, log: DataFrame, path: str, files_a_batch: i
 
     The state's store is in the shared folder, so a lost executor's part of it is read back from there.
     """
-    place, before = new_path(spark, "dedup-state"), spark.conf.get(_PROVIDER, None)
+    place, before = new_path(spark, "dedup-state"), {k: spark.conf.get(k, None) for k in _STORE}
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
     best = F.min(F.struct((-F.col("n_chars")).alias("less"), "doc_id", "row", "file")).alias("best")
     state = stream.groupBy("digest").agg(best, F.count("*").alias("n"))
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    for key, value in _STORE.items():
+        spark.conf.set(key, value)
     try:
         run = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", place).trigger(availableNow=True).start()
         run.awaitTermination()
@@ -53,7 +57,8 @@ def keyed_state(spark: SparkSession, log: DataFrame, path: str, files_a_batch: i
         kept = kept.select(F.col("key.digest").alias("digest"), *(F.col(f"value.{c}").alias(a) for c, a in zip(kept.schema["value"].dataType.names, ("best", "n"), strict=True)))
         return stored(kept, "dedup-groups")
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_a_batch: int = 1000) -> DataFrame:

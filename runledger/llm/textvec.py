@@ -58,27 +58,36 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = min(to, n)
 
 
-def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, words before each row): row i has words counts[i]:counts[i + 1]."""
+def runs(body: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, byte past the last) of each longest run of bytes with inside[byte], rows kept apart."""
     n = len(body)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[body]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    at_row = offsets[(offsets < n)]
-    first[at_row] = inside[at_row]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    before_row = offsets[1:][(offsets[1:] > 0)] - 1
-    last[before_row] = inside[before_row]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
-    size = 1 << max(16, int(n).bit_length())
-    up, down = _powers(size)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    within = inside[body]
+    first = within.copy()
+    first[1:] &= ~within[:-1]
+    at_row = offsets[offsets < n]
+    first[at_row] = within[at_row]
+    last = within.copy()
+    last[:-1] &= ~within[1:]
+    before_row = offsets[1:][offsets[1:] > 0] - 1
+    last[before_row] = within[before_row]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes, A-Z read as a-z."""
+    n = len(body)
+    up, down = _powers(1 << max(16, int(n).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((_LOWER[body].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    hashes = mix((sums[ends + 1] - sums[starts]) * down[starts])
-    return hashes, np.searchsorted(starts, offsets)
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words before each row): row i has words counts[i]:counts[i + 1]."""
+    starts, ends = runs(body, offsets, ~_SPACE)
+    return span_hashes(body, starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

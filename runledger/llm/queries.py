@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import exact_stream, minhash, mixing, packing, pivots, ppm, toxicity, warc
+from runledger.llm import crossentropy, exact_stream, minhash, mixing, packing, pivots, ppm, toxicity, warc
 from runledger.llm.common import stored
 
 
@@ -54,10 +54,15 @@ def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
+def op9_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as of good quality."""
+    return crossentropy.cross_entropy_difference(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_matrices, op3_near_dedup, op4_tier_packing, op5_language_id, op6_toxicity, op7_exact_dedup, op8_warc_segments, op10_near_vectors)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_matrices, op3_near_dedup, op4_tier_packing, op5_language_id, op6_toxicity, op7_exact_dedup, op8_warc_segments, op9_cross_entropy, op10_near_vectors)}
 
 ORACLES: dict[str, str] = {}

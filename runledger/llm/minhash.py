@@ -4,10 +4,12 @@
    Texts with the same set are one class from here on; its smallest id stands for it.
 2. Signatures are cut into 48 bands of 6. A pair at similarity 0.8 shares no band with a chance of
    about 5e-7. Representatives that share a band are candidates.
-3. Within a band's bucket, members are first compared with one leader, over a few rounds with other
-   leaders; links join components. Then every pair of a bucket that is still in two components and has
-   not been compared is compared: no pair of a bucket goes untested unless its ends are already in one
-   component. Large groups of near copies therefore cost about one comparison a member.
+3. The smallest id of a band's bucket leads it. Candidates are grouped under their leader, once however
+   many bands they share, so every two that share a bucket meet in its leader's group. Members are first
+   compared with the leader, and then only pairs that are still in two components of the group: a large
+   group of near copies costs about one comparison a member and few more. Groups are cut into blocks of
+   bounded size, every two blocks being a task's work of their own; what comes out are links of a
+   spanning forest, not pairs.
 4. A comparison reads the signatures in batches of 32 positions and stops as soon as the posterior
    chance of similarity >= 0.8, given the matches so far, is below ``MISS``. Survivors are verified
    exactly on their full shingle sets.
@@ -35,7 +37,8 @@ BANDS, ROWS = 48, 6
 PERMS = BANDS * ROWS
 STEP = 32
 MISS = 1e-6
-LEADER_ROUNDS = 4
+#: A block holds about so many documents and shingles at most (one document at least).
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
 
 _MULTIPLIERS = np.random.default_rng(20240229).integers(1, 1 << 32, PERMS, dtype=np.uint32) | np.uint32(1)
 _SKETCH = "doc_id long, n long, set_key binary, bands array<long>, sig binary"
@@ -90,7 +93,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             sets = [textvec.shingle_hashes(words[counts[i] : counts[i + 1]], k) for i in range(to - at)]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "shingles"])
 
 
 def fewest_matches(threshold: float, miss: float = MISS, steps: int = PERMS // STEP) -> np.ndarray:
@@ -111,44 +114,109 @@ def fewest_matches(threshold: float, miss: float = MISS, steps: int = PERMS // S
     return out
 
 
-def _survivors(batches: Iterator[pa.RecordBatch], fewest: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs that no batch of signature positions rules out."""
+def _alive(one: np.ndarray, others: np.ndarray, fewest: np.ndarray) -> np.ndarray:
+    """Places of the others that no batch of signature positions rules out against one."""
+    alive, matches = np.arange(len(others)), np.zeros(len(others), np.int64)
+    for i, least in enumerate(fewest):
+        span = slice(i * STEP, (i + 1) * STEP)
+        matches = matches + (others[alive, span] == one[span]).sum(axis=1)
+        alive, matches = alive[matches >= least], matches[matches >= least]
+    return alive
+
+
+def _links(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each of the others has 100 * intersection >= percent * union with one, on full sets."""
+    sizes = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    place = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    common = np.add.reduceat((one[place] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    return common * 100 >= (len(one) + sizes - common) * percent
+
+
+class _Group:
+    """The documents of a leader's group that two blocks hold; finds the links that join its components."""
+
+    def __init__(self, leader: int, ids: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> None:
+        self.ids, self.sizes, self.sigs, self.sets, self.percent = ids, sizes, sigs, sets, percent
+        self.lead = int(np.flatnonzero(ids == leader)[0])
+        self.label = np.arange(len(ids))
+        self.found: list[tuple[int, int]] = []
+
+    def compare(self, i: int, others: np.ndarray, fewest: np.ndarray) -> np.ndarray:
+        """Which of the others are linked with i."""
+        n = self.sizes[i]
+        others = others[np.minimum(n, self.sizes[others]) * 100 >= np.maximum(n, self.sizes[others]) * self.percent]
+        others = others[_alive(self.sigs[i], self.sigs[others], fewest)] if len(others) else others
+        return others[_links(self.sets[i], [self.sets[j] for j in others], self.percent)] if len(others) else others
+
+    def join(self, i: int, linked: np.ndarray) -> None:
+        for j in linked:
+            if self.label[i] != self.label[j]:
+                self.found.append((int(self.ids[i]), int(self.ids[j])))
+                self.label[self.label == self.label[j]] = self.label[i]
+
+    def links(self, fewest: np.ndarray) -> list[tuple[int, int]]:
+        everyone = np.arange(len(self.ids))
+        self.join(self.lead, self.compare(self.lead, everyone[everyone != self.lead], fewest))
+        # documents outside the leader's component, against all that are still apart from them
+        for i in np.flatnonzero(self.label != self.label[self.lead]):
+            later = (everyone > i) | (self.label == self.label[self.lead])
+            self.join(i, self.compare(i, everyone[later & (self.label != self.label[i])], fewest))
+        return self.found
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], fewest: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) out of rows sorted by (leader, one, two): the documents of two blocks of a leader's group."""
+    held: pa.Table | None = None
+
+    def cuts(table: pa.Table) -> np.ndarray:
+        keys = [table.column(c).to_numpy() for c in ("leader", "one", "two")]
+        return np.concatenate([[0], np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1, [table.num_rows]])
+
+    def worked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        at = cuts(table)
+        out: list[tuple[int, int]] = []
+        leaders, ids = table.column("leader").to_numpy(), table.column("id").to_numpy()
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            part = table.slice(a, b - a)
+            sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(-1, PERMS)
+            sets = part.column("shingles").combine_chunks()
+            ends, flat = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
+            own = [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            out += _Group(leaders[a], ids[a:b], np.diff(ends), sigs, own, percent).links(fewest)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
     for batch in batches:
-        for at in range(0, batch.num_rows, 8192):
-            part = batch.slice(at, 8192)
-            a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, PERMS) for c in ("sig_a", "sig_b"))
-            alive, matches = np.arange(part.num_rows), np.zeros(part.num_rows, np.int64)
-            for i, least in enumerate(fewest):
-                span = slice(i * STEP, (i + 1) * STEP)
-                matches[alive] += (a[alive, span] == b[alive, span]).sum(axis=1)
-                alive = alive[matches[alive] >= least]
-            rows = pa.array(alive)
-            yield pa.RecordBatch.from_arrays([part.column("a").take(rows), part.column("b").take(rows)], ["a", "b"])
-
-
-def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links: pruned on signatures, then exact on full sets."""
-    sig = sketches.select("doc_id", "sig")
-    both = pairs.join(sig.withColumnsRenamed({"doc_id": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"doc_id": "b", "sig": "sig_b"}), "b")
-    left = stored(both.select("a", "b", "sig_a", "sig_b").mapInArrow(partial(_survivors, fewest=fewest_matches(percent / 100)), "a long, b long"), "near-survivors")
-    ids = left.selectExpr("a AS doc_id").unionByName(left.selectExpr("b AS doc_id")).distinct()
-    sets = maybe_in(texts, "doc_id", ids).join(ids, "doc_id", "left_semi").mapInArrow(partial(_sets, k=k), "doc_id long, shingles array<long>")
-    sets = stored(sets, "near-sets")
-    full = left.join(sets.selectExpr("doc_id AS a", "shingles AS x"), "a").join(sets.selectExpr("doc_id AS b", "shingles AS y"), "b")
-    full = full.withColumn("common", F.size(F.array_intersect("x", "y"))).withColumn("joint", F.size("x") + F.size("y") - F.col("common"))
-    return stored(full.where(F.col("common") * 100 >= F.col("joint") * percent).select("a", "b"), "near-links")
-
-
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("label", F.col("id"))
-    return members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-
-
-def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b, whose set sizes allow the similarity."""
-    fit = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return pairs.where(fit & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        at = cuts(held)
+        if len(at) > 2:  # the last group may go on in the next batch
+            yield from worked(held.slice(0, at[-2]))
+            held = held.slice(at[-2])
+    if held is not None and held.num_rows:
+        yield from worked(held)
+
+
+def _group_links(groups: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links within groups (leader, id, n), verified."""
+    sizes = groups.groupBy("leader").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    spread = groups.join(sizes.select("leader", blocks.alias("blocks")), "leader").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # every block meets every other, and itself where it is the only one; the leader comes along to all
+    spread = spread.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))))
+    members = spread.select("leader", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id")
+    leaders = sizes.select("leader", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("one"), blocks.alias("blocks"))
+    leaders = leaders.select("leader", "one", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x > F.col("one")))).alias("two"), F.col("leader").alias("id"))
+    rows = members.where("id <> leader").unionByName(leaders)
+    ids = groups.select(F.col("id").alias("doc_id")).distinct()
+    sets = maybe_in(texts, "doc_id", ids).join(ids, "doc_id", "left_semi").mapInArrow(partial(_sets, k=k), "id long, shingles array<long>")
+    sigs = maybe_in(sketches.where("n > 0").select("doc_id", "sig"), "doc_id", ids).withColumnRenamed("doc_id", "id")
+    full = rows.join(sigs, "id").join(sets, "id")
+    dealt = full.repartition("leader", "one", "two").sortWithinPartitions("leader", "one", "two", "id")
+    found = dealt.select("leader", "one", "two", "id", "sig", "shingles").mapInArrow(partial(_grouped, fewest=fewest_matches(percent / 100), percent=percent), "a long, b long")
+    return stored(found, "near-links")
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -163,41 +231,13 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     of_class = stored(sketches.where("doc_id IS NOT NULL").select("doc_id", "n", "set_key").join(classes, "set_key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "near-classes")
 
     reps = sketches.where("n > 0").join(classes.select("set_key", F.col("rep").alias("doc_id")), ["doc_id", "set_key"], "left_semi")
-    members = reps.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key")).distinct()
-    buckets = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    members = stored(members.join(buckets, "key"), "near-buckets")
-
-    tested: DataFrame | None = None
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    for turn in range(LEADER_ROUNDS + 1):
-        at = _labelled(members, labels)
-        mixed = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        if turn:
-            mixed = at.where("c > 2").select("key", "label").join(mixed, "key", "left_semi").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        open_ = stored(at.join(mixed, "key"), "near-open")
-        if turn < LEADER_ROUNDS:
-            # the leader: the smallest id, in later rounds the smallest outside the component that has led before
-            leader = open_.groupBy("key").agg(F.min_by(F.struct("id", "n", "label"), F.struct((F.col("label") == F.col("lo")) if turn else F.lit(False), "id")).alias("lead"))
-            pairs = open_.join(leader, "key").where("label <> lead.label").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("lead.id").alias("b"), F.col("lead.n").alias("n_b"))
-        else:
-            groups = open_.select("key", "label").distinct()
-            across = groups.join(groups.withColumnRenamed("label", "other"), "key").where("label < other")
-            one = open_.select("key", "label", F.col("id").alias("a"), F.col("n").alias("n_a"))
-            two = open_.select("key", F.col("label").alias("other"), F.col("id").alias("b"), F.col("n").alias("n_b"))
-            pairs = across.join(one, ["key", "label"]).join(two, ["key", "other"])
-        pairs = _ordered(pairs, percent)
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            if turn < LEADER_ROUNDS:
-                continue
-            break
-        found = _verified(pairs, sketches, texts, k, percent)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links.selectExpr("a", "b"))
-    result = of_class.withColumnRenamed("rep", "id")
-    result = _labelled(result, labels).select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), (F.col("doc_id") == F.col("label")).alias("kept"), F.col("id").alias("class_id"))
+    members = reps.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("leader")).where("c > 1")
+    groups = stored(members.join(buckets, "key").groupBy("leader", "id").agg(F.min("n").alias("n")), "near-groups")
+    labels = connected_components(_group_links(groups, sketches, texts, k, percent))
+
+    joined = of_class.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
+    result = joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), F.col("rep").alias("class_id"))
     lone = sketches.where("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(False).alias("kept"), F.lit(None).cast("long").alias("class_id"))
     return result.unionByName(lone)
 

@@ -101,27 +101,28 @@ def _write(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
 
-def _record_id(page_id, copy):
-    """urn:uuid made of the page's id and which of its rows it is."""
-    h = F.sha2(F.concat_ws(":", F.coalesce(page_id.cast("string"), F.lit("-")), copy.cast("string")), 256)
+def _record_id(*parts):
+    """urn:uuid made of what tells a page's row from others."""
+    h = F.sha2(F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("-")) for p in parts)), 256)
     return F.concat(F.lit("urn:uuid:"), *(x for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in ((F.lit("-"), F.substring(h, at, n)) if at > 1 else (F.substring(h, at, n),))))
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
-    """Write pages (page_id, url, html) as gzipped WARC files into the folder path."""
+    """Write pages (page_id, url, html) as gzipped WARC files into the folder path.
+
+    What refers to what is decided on digests alone; the payloads are shuffled once.
+    """
     own = columns(pages, page_id="page_id", url="url", html="html").select(
-        F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\r\n]", " ").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload")
+        F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\r\n]", " ").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload")
     )
-    light = own.where((F.octet_length("payload") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).select("page_id", F.sha2("payload", 256).alias("digest"))
-    first = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = light.join(first, "digest").where("page_id <> first").select("page_id", "digest", "first").distinct()
-    rows = own.withColumn("digest", F.sha2("payload", 256)).join(again, ["page_id", "digest"], "left")
-    copy = F.row_number().over(W.partitionBy("page_id").orderBy("digest", "url"))
-    rows = rows.withColumn("record_id", _record_id(F.col("page_id"), copy))
-    # the response is the first row of its page with that payload; where a page has several, its copy number is looked up
-    responses = rows.where("first IS NULL AND page_id IS NOT NULL").join(first.select("digest", F.col("first").alias("page_id")), ["digest", "page_id"], "left_semi").groupBy("digest").agg(F.min("record_id").alias("refers_to"))
-    rows = rows.join(responses, "digest", "left")
-    rows = rows.withColumn("refers_to", F.when(F.col("first").isNotNull(), F.col("refers_to")))
+    keys = ["page", "url", "digest"]
+    own = own.withColumn("digest", F.sha2("payload", 256))
+    light = own.where(F.octet_length("payload") >= LEAST_REVISIT).where("page <> ''").select(*keys).distinct()
+    first = light.groupBy("digest").agg(F.min(F.struct(F.col("page").cast("long").alias("id"), "url")).alias("first"), F.count_distinct("page").alias("n")).where("n > 1")
+    again = light.join(first, "digest").where(F.col("page") != F.col("first.id").cast("string"))
+    again = again.select(*keys, _record_id(F.col("first.id"), F.col("first.url"), F.col("digest"), F.lit(1)).alias("refers_to"))
+    rows = own.join(again, keys, "left").withColumn("copy", F.row_number().over(W.partitionBy(*keys).orderBy("refers_to")))
+    rows = rows.withColumn("record_id", _record_id(F.nullif("page", F.lit("")), F.col("url"), F.col("digest"), F.col("copy"))).withColumn("page_id", F.nullif("page", F.lit("")).cast("long"))
     records = rows.select("record_id", "page_id", "url", "digest", "payload", "refers_to").mapInArrow(partial(_write, segment=segment), "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
@@ -217,11 +218,17 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, kind, page_id, refers_to, digest, payload, problem) of each record in the folder, segments joined."""
+    """(record_id, kind, page_id, refers_to, digest, payload, problem) of each record in the folder, segments joined.
+
+    Only records in several segments are shuffled; for that the files are parsed twice.
+    """
     raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, _RAW)
-    meta = [F.max(F.when(F.col("kind") != "continuation", F.col(c))).alias(c) for c in ("kind", "page_id", "refers_to", "digest")]
-    grouped = raw.groupBy(F.col("origin_id").alias("record_id")).agg(*meta, F.collect_list(F.struct("segment", "total", "block")).alias("segments"))
-    return grouped.mapInArrow(_payloads, "record_id string, kind string, page_id long, refers_to string, digest string, payload binary, problem string")
+    names = ("kind", "page_id", "refers_to", "digest")
+    part = F.struct("segment", "total", "block")
+    whole = raw.where("segment IS NULL").select("record_id", *names, F.array(part).alias("segments"))
+    meta = [F.max(F.when(F.col("kind") != "continuation", F.col(c))).alias(c) for c in names]
+    joined = raw.where("segment IS NOT NULL").groupBy(F.col("origin_id").alias("record_id")).agg(*meta, F.collect_list(part).alias("segments"))
+    return whole.unionByName(joined).mapInArrow(_payloads, "record_id string, kind string, page_id long, refers_to string, digest string, payload binary, problem string")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

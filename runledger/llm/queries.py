@@ -34,7 +34,7 @@ def op2_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_components(read(spark, sf_dir, "documents"), k=2)
+    return minhash.near_components(read(spark, sf_dir, "documents"), k=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,24 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_matrices, op3_near_dedup, op4_tier_packing, op5_language_id, op6_toxicity, op7_exact_dedup, op8_warc_segments, op9_cross_entropy, op10_near_vectors)}
 
-ORACLES: dict[str, str] = {}
+_REACHED = """reach AS (SELECT id, id AS to_id FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.to_id)"""
+
+ORACLES: dict[str, str] = {
+    "op3_near_dedup": r"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  nodes AS (SELECT id FROM w),
+  s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE [w[i] || chr(0) || w[i + 1] FOR i IN range(1, len(w))] END) AS g FROM w),
+  n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+  p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.id <> y.id GROUP BY ALL),
+  links AS (SELECT a, b FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+  """ + _REACHED + """ SELECT r.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(to_id) AS component_id, r.id = min(to_id) AS kept FROM reach r LEFT JOIN n ON n.id = r.id GROUP BY r.id""",
+    "op7_exact_dedup": r"""WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS c, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+  k AS (SELECT doc_id, t, first_value(doc_id) OVER (PARTITION BY t ORDER BY c DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
+  SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM k""",
+    "op8_warc_segments": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+  r AS (SELECT *, payload_bytes >= 100 AND page_id <> first AS again FROM g)
+  SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to, NULL::VARCHAR AS problem FROM r""",
+    "op10_near_vectors": """WITH RECURSIVE nodes AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings),
+  ok AS (SELECT * FROM nodes WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+  links AS (SELECT x.id AS a, y.id AS b FROM ok x JOIN ok y ON x.label = y.label AND x.id <> y.id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
+  """ + _REACHED + """ SELECT r.id AS vec_id, (SELECT count(*) FROM links WHERE a = r.id) AS n_links, min(to_id) AS component_id, r.id = min(to_id) AS kept FROM reach r GROUP BY r.id""",
+}

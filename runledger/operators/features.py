@@ -10,16 +10,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ORDER = W.partitionBy("trajectory_id").orderBy("event_seq")
-PREFIX = ORDER.rowsBetween(W.unboundedPreceding, W.currentRow)
-CALLS = W.partitionBy("trajectory_id").orderBy("call_ordinal")
-
 COUNTERS = (
     "completed_api_attempts", "failed_api_attempts", "completed_tool_calls", "failed_tool_calls", "known_usage_attempts", "missing_usage_attempts",
     "request_count", "cumulative_provider_input_tokens", "cumulative_provider_output_tokens",
 )
 
 
+def in_order():
+    return W.partitionBy("trajectory_id").orderBy("event_seq")
+
+
+def prefix():
+    return in_order().rowsBetween(W.unboundedPreceding, W.currentRow)
+
+
+def by_call():
+    return W.partitionBy("trajectory_id").orderBy("call_ordinal")
+
+
 def text_or_null(column):
     return F.nullif(F.trim(column), F.lit(""))
 
@@ -35,9 +43,9 @@ def running_state(events: DataFrame) -> DataFrame:
     terminal = kind.isin("api_completed", "api_failed")
     known = usage["input_tokens"].isNotNull() & usage["output_tokens"].isNotNull()
     known = F.coalesce(known, F.lit(False))
-    total = lambda what: F.sum(what).over(PREFIX)
+    total = lambda what: F.sum(what).over(prefix())
     flag = lambda cond: total(F.when(cond, 1).otherwise(0))
-    launch = lambda c: F.first(F.when(kind == "task_started", F.col(f"payload.{c}")), ignorenulls=True).over(PREFIX)
+    launch = lambda c: F.first(F.when(kind == "task_started", F.col(f"payload.{c}")), ignorenulls=True).over(prefix())
     action = F.when(kind.isin("tool_completed", "tool_failed"), action_key())
     state = events.select(
         "*",
@@ -46,7 +54,7 @@ def running_state(events: DataFrame) -> DataFrame:
         flag(terminal & known).alias("known_usage_attempts"), flag(terminal & ~known).alias("missing_usage_attempts"), flag(kind == "request_built").alias("request_count"),
         total(F.when(terminal & known, usage["input_tokens"]).otherwise(0)).alias("cumulative_provider_input_tokens"),
         total(F.when(terminal & known, usage["output_tokens"]).otherwise(0)).alias("cumulative_provider_output_tokens"),
-        F.last(F.when(kind == "request_built", F.col("logical_call_id")), ignorenulls=True).over(PREFIX).alias("active_call_id"),
+        F.last(F.when(kind == "request_built", F.col("logical_call_id")), ignorenulls=True).over(prefix()).alias("active_call_id"),
         *(launch(c).alias(c) for c in ("task_tokens", "max_steps", "model_id", "agent_id", "reasoning_effort")),
         action.alias("action_key"), flag(action.isNotNull()).alias("actions_so_far"),
     )
@@ -54,7 +62,7 @@ def running_state(events: DataFrame) -> DataFrame:
     recent = F.collect_list("action_key").over(W.partitionBy("trajectory_id", F.col("action_key").isNotNull()).orderBy("event_seq").rowsBetween(-2, 0))
     repeats = F.when(F.col("action_key").isNotNull(), F.size(recent) - F.size(F.array_distinct(recent)))
     state = state.withColumn("repeats_here", repeats)
-    return state.withColumn("repeated_action_count_3", F.coalesce(F.last("repeats_here", ignorenulls=True).over(PREFIX), F.lit(0))).drop("repeats_here", "actions_so_far").withColumnRenamed("request_count", "call_ordinal").withColumn("request_count", F.col("call_ordinal"))
+    return state.withColumn("repeated_action_count_3", F.coalesce(F.last("repeats_here", ignorenulls=True).over(prefix()), F.lit(0))).drop("repeats_here", "actions_so_far").withColumnRenamed("request_count", "call_ordinal").withColumn("request_count", F.col("call_ordinal"))
 
 
 def call_facts(state: DataFrame) -> DataFrame:
@@ -76,14 +84,14 @@ def call_facts(state: DataFrame) -> DataFrame:
 
 def closed_call_history(facts: DataFrame) -> DataFrame:
     """For each call what the calls closed before it say (the history that its request sees)."""
-    before, three = CALLS.rowsBetween(W.unboundedPreceding, -1), CALLS.rowsBetween(-3, -1)
+    before, three = by_call().rowsBetween(W.unboundedPreceding, -1), by_call().rowsBetween(-3, -1)
     calm = F.max(F.when(~F.col("has_error"), F.col("call_ordinal"))).over(before)
     return facts.select(
         "trajectory_id", "call_ordinal",
-        F.lag("closed_output").over(CALLS).alias("last_call_output_tokens"),
+        F.lag("closed_output").over(by_call()).alias("last_call_output_tokens"),
         F.when((F.count("*").over(three) > 0) & (F.count("closed_output").over(three) == F.count("*").over(three)), F.avg("closed_output").over(three)).alias("recent_generated_mean_3"),
         F.last("tool_type", ignorenulls=True).over(before).alias("last_tool_type"),
-        F.coalesce(F.lag("tool_errors").over(CALLS), F.lit(0)).cast("long").alias("last_round_tool_error_count"),
+        F.coalesce(F.lag("tool_errors").over(by_call()), F.lit(0)).cast("long").alias("last_round_tool_error_count"),
         (F.col("call_ordinal") - 1 - F.coalesce(calm, F.lit(0))).alias("consecutive_error_rounds"),
     )
 
@@ -92,7 +100,7 @@ def request_sizes(events: DataFrame) -> DataFrame:
     """Each request with its size, the change from the request before it and the share of the window it fills."""
     size, window = F.col("payload.request_tokens_local"), F.col("payload.context_window")
     return events.where("event_type = 'request_built'").select(
-        "trajectory_id", "event_seq", size.alias("current_request_tokens_local"), (size - F.lag(size).over(ORDER)).alias("request_delta_tokens"), F.when(window > 0, size / window).alias("context_utilization")
+        "trajectory_id", "event_seq", size.alias("current_request_tokens_local"), (size - F.lag(size).over(in_order())).alias("request_delta_tokens"), F.when(window > 0, size / window).alias("context_utilization")
     )
 
 

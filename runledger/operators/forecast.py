@@ -84,7 +84,8 @@ def cross_validated(rows: DataFrame, folds: DataFrame, k: int, cell: Sequence[st
     from runledger.operators.splits import roles
 
     by = [*cell, "test_fold"]
-    seen = rows.join(roles(folds.select("task_id", "fold"), k), "task_id").withColumn("truth", F.col("label_value").cast("double"))
+    # every row once for each test fold; roles are arithmetic on the fold, so only (task_id, fold) is joined
+    seen = roles(rows.join(folds.select("task_id", "fold"), "task_id"), k).withColumn("truth", F.col("label_value").cast("double"))
     params = fit(seen.where("role IN ('train', 'validation')"), by, alpha)
     expansion = fit_conformal(seen.where("role = 'calibration'").join(params, by), by, alpha)
     return calibrated(seen.where("role = 'test'").join(params, by), expansion, by)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from runledger.operators import features, forecast, labels, points, splits
 from runledger.sources import mapping
+from runledger.sources.tables import kept
 
 SALT = "runledger"
 FOLDS = 5
@@ -91,13 +92,14 @@ SCORED = CELL + ",\norders_t AS (SELECT o_custkey::VARCHAR AS task_id FROM order
 
 def all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supervised rows of all runs: points, features and labels."""
-    events = mapping.events(spark, sf_dir)
+    events = kept(mapping.events(spark, sf_dir), "events")
     return points.rows(events, mapping.runs(spark, sf_dir), features.snapshots(events), labels.suffix_labels(events))
 
 
 def cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted observed rows of task_update on the remaining tokens, all conditions."""
-    return points.weighted(points.eligible(all_rows(spark, sf_dir), "task_update", "task_provider_accounted_remaining"))
+    observed = points.eligible(all_rows(spark, sf_dir), "task_update", "task_provider_accounted_remaining")
+    return points.weighted(kept(observed, "cell"))
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +109,8 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str, fit=forecast.fit_empirical) -> DataFrame:
     """Cross-validated, calibrated forecasts of the cell."""
     folds = splits.ranked_folds(tasks(spark, sf_dir), SALT, FOLDS)
-    return forecast.cross_validated(cell(spark, sf_dir), folds, FOLDS, fit=fit)
+    narrow = ("point_id", "trajectory_id", "task_id", "condition_id", "logical_call_id", "cutoff_event_seq", "label_value", "weight")
+    return kept(forecast.cross_validated(kept(cell(spark, sf_dir).select(*narrow), "cell"), folds, FOLDS, fit=fit), "scored")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

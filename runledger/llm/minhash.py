@@ -211,9 +211,10 @@ def _group_links(groups: DataFrame, sketches: DataFrame, texts: DataFrame, k: in
     leaders = leaders.select("leader", "one", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x > F.col("one")))).alias("two"), F.col("leader").alias("id"))
     rows = members.where("id <> leader").unionByName(leaders)
     ids = groups.select(F.col("id").alias("doc_id")).distinct()
-    sets = maybe_in(texts, "doc_id", ids).join(ids, "doc_id", "left_semi").mapInArrow(partial(_sets, k=k), "id long, shingles array<long>")
+    # what the filter lets through in excess finds no row below; so texts are never shuffled, only sets
+    sets = maybe_in(texts, "doc_id", ids).mapInArrow(partial(_sets, k=k), "id long, shingles array<long>")
     sigs = maybe_in(sketches.where("n > 0").select("doc_id", "sig"), "doc_id", ids).withColumnRenamed("doc_id", "id")
-    full = rows.join(sigs, "id").join(sets, "id")
+    full = rows.join(sigs.hint("merge"), "id").join(sets.hint("merge"), "id")
     dealt = full.repartition("leader", "one", "two").sortWithinPartitions("leader", "one", "two", "id")
     found = dealt.select("leader", "one", "two", "id", "sig", "shingles").mapInArrow(partial(_grouped, fewest=fewest_matches(percent / 100), percent=percent), "a long, b long")
     return stored(found, "near-links")

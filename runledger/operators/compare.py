@@ -65,3 +65,48 @@ def best_candidate(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def may_replace(intervals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Whether the upper end of the difference's interval is below 0 under every seed."""
     return intervals.groupBy(*by).agg(F.bool_and(F.col("ci_high") < 0).alias("may_replace"), F.count("*").alias("n_seeds"))
+
+
+def matched_coverage(results: DataFrame, reference: str, candidate: str, by: Sequence[str] = (), tolerance: float = 0.02) -> DataFrame:
+    """The winner by interval score of two calibrations (calibrator_id, coverage, interval_score) whose coverages are within tolerance; null where they aren't."""
+    side = lambda who, n: results.where(F.col("calibrator_id") == who).select(*by, F.col("coverage").alias(f"{n}_coverage"), F.col("interval_score").alias(f"{n}_score"))
+    one, two = side(reference, "reference"), side(candidate, "candidate")
+    both = one.join(two, list(by)) if by else one.crossJoin(two)
+    matched = F.abs(F.col("reference_coverage") - F.col("candidate_coverage")) <= tolerance
+    winner = F.when(F.col("candidate_score") < F.col("reference_score"), candidate).when(F.col("candidate_score") > F.col("reference_score"), reference).otherwise("tie")
+    return both.withColumn("matched", matched).withColumn("winner", F.when(F.col("matched"), winner))
+
+
+def raw_differences(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Points whose forecasts before calibration differ between two calibrations: empty where only the calibration differs."""
+    raw = ["raw_lower", "raw_point", "raw_upper"]
+    other = two.select("point_id", *(F.col(c).alias(f"other_{c}") for c in raw), F.lit(True).alias("_two"))
+    both = one.select("point_id", *raw, F.lit(True).alias("_one")).join(other, "point_id", "full_outer")
+    same = F.col("_one").isNotNull() & F.col("_two").isNotNull()
+    for c in raw:
+        same = same & F.col(c).eqNullSafe(F.col(f"other_{c}"))
+    return both.where(~same).select("point_id")
+
+
+def set_differences(planned: DataFrame, actual: DataFrame, key: str = "task_id") -> DataFrame:
+    """(key, problem): planned and missing, or there and not planned."""
+    p, a = planned.select(key), actual.select(key)
+    return p.subtract(a).withColumn("problem", F.lit("missing")).unionByName(a.subtract(p).withColumn("problem", F.lit("extra")))
+
+
+def in_several_roles(assigned: DataFrame, by: Sequence[str] = (), key: str = "task_id") -> DataFrame:
+    """Keys that more than one role claims."""
+    return assigned.groupBy(*by, key).agg(F.count_distinct("role").alias("roles")).where("roles > 1")
+
+
+def not_exactly_once(expected: DataFrame, predicted: DataFrame, key: str = "point_id") -> DataFrame:
+    """Keys predicted more or less often than once, with how often."""
+    n = predicted.groupBy(key).agg(F.count("*").alias("_n"))
+    return expected.select(key).distinct().withColumn("_e", F.lit(1)).join(n, key, "full_outer").select(key, F.coalesce("_n", F.lit(0)).alias("times"), F.col("_e").isNotNull().alias("expected")).where("times <> 1 OR NOT expected")
+
+
+def closes_over_tasks(suite: DataFrame, tasks: DataFrame, by: Sequence[str] = (), tolerance: float = 1e-10) -> DataFrame:
+    """Whether the MAE of the whole is the weighted mean of the tasks' MAEs."""
+    mean = tasks.groupBy(*by).agg((F.sum(F.col("weight_sum") * F.col("mae")) / F.sum("weight_sum")).alias("_mae"))
+    both = suite.join(mean, list(by)) if by else suite.crossJoin(mean)
+    return both.select(*by, (F.abs(F.col("mae") - F.col("_mae")) <= tolerance * F.greatest(F.lit(1.0), F.abs("mae"))).alias("closes"))

@@ -5,7 +5,7 @@ all rates with sum(r_i * size_i) = target_s and r_i <= 3 the ones nearest to 1 i
 r_i = min(3, exp(lambda_s * size_i / mean_s)); the convex dual in lambda is solved by Newton steps, each
 one distributed aggregation over the (source, size) histogram. Rates are then rounded into copies:
 systematically along the sizes of a source, and the rest of the target is filled greedily, so that what
-a source takes misses its target by less than about its smallest document.
+a source takes misses its target by less than its smallest document that still has room.
 
 Defined results: a null text has size 0; a null source is a source of its own and comes last; documents
 of size 0 count towards no target and get the copies their rate of 1 rounds to, taking 0 words; repeated
@@ -117,7 +117,7 @@ def _cell_copies(cells: DataFrame, dual: DataFrame, most: int) -> DataFrame:
 def mix(docs: DataFrame, keep: list[str] | None = None, weights=WEIGHTS, most: int = MOST_COPIES, salts: int = SALTS) -> DataFrame:
     """The mix of docs (doc_id, source, text): size, source_size, target, rate, copies and taken of each row.
 
-    ``keep``: columns of docs to carry along (default doc_id only). Within a cell of equal source and size
+    ``keep``: columns of docs to carry along (default doc_id only); then the new columns are called mix_*. Within a cell of equal source and size
     the first documents by id take the spare copies; ranks are counted in ``salts`` parts, so that no task
     holds a hot cell.
     """
@@ -139,4 +139,11 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights=WEIGHTS, most: i
     ranked = at.join(parts, ["src", "size", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("src", "size", "salt").orderBy("id")) - 1)
     spare = (F.col("rank") < F.col("cell_copies") % F.col("cell_n")).cast("long")
     ranked = ranked.withColumn("copies", F.floor(F.col("cell_copies") / F.col("cell_n")) + spare)
-    return ranked.select(*(F.col(k).alias(c) for k, c in own.items()), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+    facts = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.col("copies") * F.col("size"), "copies": F.col("copies"), "rate": F.col("rate")}
+    return ranked.select(*(F.col(k).alias(c) for k, c in own.items()), *(f.alias(n if keep == ["doc_id"] else f"mix_{n}") for n, f in facts.items()))
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """The rows of docs with all their columns, each as often as the mix takes it."""
+    mixed = mix(docs, keep=docs.columns).where("mix_copies > 0")
+    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)

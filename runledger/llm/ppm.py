@@ -153,8 +153,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Trees | None:
     return Trees([(r["lang"], r["code"], r["n"]) for r in found]) if found else None
 
 
-def _predict(batches: Iterator[pa.RecordBatch], trees) -> Iterator[pa.RecordBatch]:
-    model = trees.value
+def _predict(batches: Iterator[pa.RecordBatch], trees, with_text: bool) -> Iterator[pa.RecordBatch]:
+    model, left_out = trees.value, ("lettered",) if with_text else ("text", "lettered")
     for batch in batches:
         body, offsets = textvec.buffers(batch.column("text"))
         best, score = [], []
@@ -169,20 +169,20 @@ def _predict(batches: Iterator[pa.RecordBatch], trees) -> Iterator[pa.RecordBatc
         wordless = ~np.array(batch.column("lettered").to_pylist(), bool)
         picked = np.where(wordless, "und", picked)
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in batch.schema.names if c not in ("text", "lettered")), pa.array(picked.tolist(), pa.string()), pa.array(np.where(wordless, 0.0, np.concatenate(score) if score else []))],
-            [*(c for c in batch.schema.names if c not in ("text", "lettered")), "lang_pred", "score"],
+            [*(batch.column(c) for c in batch.schema.names if c not in left_out), pa.array(picked.tolist(), pa.string()), pa.array(np.where(wordless, 0.0, np.concatenate(score) if score else []))],
+            [*(c for c in batch.schema.names if c not in left_out), "lang_pred", "score"],
         )
 
 
-def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
-    """docs (text and any other columns) without its text, with lang_pred and score, the odds of the winner."""
+def identify(docs: DataFrame, trees: Trees | None, with_text: bool = False) -> DataFrame:
+    """docs (text and any other columns), without its text if not asked for, with lang_pred and score, the odds of the winner."""
     others = [f for f in docs.schema.fields if f.name != "text"]
     if trees is None:
-        return docs.drop("text").withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
+        return (docs if with_text else docs.drop("text")).withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
     lettered = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("lettered")
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded: CONTEXTS + bytes**2 states
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "lang_pred string, score double"])
-    return docs.select(*(F.col(f"`{f.name}`") for f in others), "text", lettered).mapInArrow(partial(_predict, trees=shared), schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), *["text string"] * with_text, "lang_pred string, score double"])
+    return docs.select(*(F.col(f"`{f.name}`") for f in others), "text", lettered).mapInArrow(partial(_predict, trees=shared, with_text=with_text), schema)
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -199,5 +199,7 @@ def held_out_prediction(docs: DataFrame, folds: int = 4, held: int = 2) -> DataF
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs with a language: not ``und``, and the winner likelier than all others together."""
     trees = fit(columns(docs, key="doc_id", text="text", lang="lang"))
-    marked = identify(docs.withColumn("_text", F.col("text")), trees)
-    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).withColumnRenamed("_text", "text").select(*docs.columns)
+    own = {f"k{i}": c for i, c in enumerate(docs.columns) if c != "text"}
+    marked = identify(columns(docs, **own, text="text"), trees, with_text=True).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    back = {c: k for k, c in own.items()}
+    return marked.select(*(F.col("text") if c == "text" else F.col(back[c]).alias(c) for c in docs.columns))

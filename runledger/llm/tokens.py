@@ -20,7 +20,7 @@ from functools import lru_cache
 END = 1
 _CLOSING = re.compile(rb"(?<=[a-z])([,.])(?![^ \t\n\r\x0b\x0c])")
 #: Pieces kept by a worker before it starts anew: about 200 bytes each.
-_MOST_CACHED = 700_000
+_MOST_CACHED = 350_000
 #: Fixed value: the pattern in the tokenizer's file, and its meaning for lower-case ASCII.
 _DECLARED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")

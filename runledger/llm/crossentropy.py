@@ -258,9 +258,8 @@ def _shares(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBatc
         bits = c[:, None] * np.log2(1 + of_pair / (K * chance))
         bits[other & (b == 0)] = 0
         bits[other] += c[other, None] * np.log2(chance[other]) + inner[other, None] * np.log2(K / (of_word[other] + K))
-        rows, place = np.unique(row, return_inverse=True)
-        none = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(rows), none, none, *(pa.array(np.bincount(place, bits[:, i], len(rows))) for i in (0, 1))], names)
+        none = pa.nulls(len(row), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(row), none, none, pa.array(bits[:, 0]), pa.array(bits[:, 1])], names)
 
     parts: list[pa.RecordBatch] = []
     size = 0

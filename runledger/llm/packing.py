@@ -37,16 +37,17 @@ STEP_UNITS = 16
 #: Pieces stay in the pool until so many tokens are there to choose from.
 POOL_TOKENS = 16 * TIERS[-1]
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-_ROWS = "sequence_id long, ids binary, n_tokens int, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
+_ROWS = "sequence_id long, ids binary, positions binary, n_tokens int, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
 
 
 def _documents(batch: pa.RecordBatch, path: str) -> Iterator[list[tuple]]:
     """Slices of (doc_id, ids with the closing id as uint32 bytes)."""
-    encode, close = encoder(path).ids, int(END).to_bytes(4, "little")
-    _, offsets = textvec.buffers(batch.column("text"))
+    encode, close = encoder(path).encode, int(END).to_bytes(4, "little")
+    body, offsets = textvec.buffers(batch.column("text"))
     for at, to in textvec.slices(offsets):
-        part = batch.slice(at, to - at)
-        yield list(zip(part.column("doc_id").to_pylist(), (x + close for x in encode(part.column("text").to_pylist())), strict=True))
+        flat, ends = encode(body[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        raw = flat.astype("<u4").tobytes()
+        yield [(doc, raw[4 * a : 4 * b] + close) for doc, a, b in zip(batch.column("doc_id").slice(at, to - at).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 class _Pool:
@@ -212,10 +213,11 @@ def _best_fit(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterat
             pieces = [pending[i] for i in row]
             ends = np.cumsum([0, *(len(p[2]) // 4 for p in pieces)]).tolist()
             ids = np.frombuffer(b"".join(p[2] for p in pieces), "<u4").astype(kind)
-            out.append((count, np.pad(ids, (0, size - len(ids))).tobytes(), ends[-1], ends, [p[0] for p in pieces], [p[1] for p in pieces]))
+            places = np.arange(len(ids)) - np.repeat(ends[:-1], np.diff(ends))
+            out.append((count, *(np.pad(x.astype(kind), (0, size - len(x))).tobytes() for x in (ids, places)), ends[-1], ends, [p[0] for p in pieces], [p[1] for p in pieces]))
             count += 1
         pending.clear()
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in _ROWS.split(", ")])
 
     held = 0
@@ -233,11 +235,7 @@ def _best_fit(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterat
 
 def pack_best_fit(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
     """One row a packed sequence: the padded id matrix row (uint16, or uint32 for large vocabularies), the
-    cumulative segment lengths (where positions start anew), and the documents and starts of its segments."""
+    position of each id in the same width, starting anew at every segment (padding has 0), the cumulative
+    segment lengths, and the documents and starts of the segments."""
     own = columns(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return own.mapInArrow(partial(_best_fit, path=tokenizer, size=size), _ROWS)
-
-
-def positions(cu_seqlens: str = "cu_seqlens"):
-    """The position of each token of a row, starting anew at every segment, as array<int>."""
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(cu_seqlens) - 1), lambda i: F.sequence(F.lit(0), F.element_at(cu_seqlens, i + 1) - F.element_at(cu_seqlens, i) - 1)))

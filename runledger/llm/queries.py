@@ -30,7 +30,7 @@ def tokenizer_path() -> str:
 def op2_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the packed matrices of all documents, read them back and return one row a sequence."""
     rows = stored(packing.pack_best_fit(read(spark, sf_dir, "documents"), tokenizer_path()), "matrices")
-    return rows.select("sequence_id", "n_tokens", "cu_seqlens", "doc_ids", "starts", F.crc32("ids").alias("ids_crc32"))
+    return rows.select("sequence_id", "n_tokens", "cu_seqlens", "doc_ids", "starts", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

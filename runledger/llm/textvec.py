@@ -6,13 +6,13 @@ A word is ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 bytes with A-Z in lower case.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes handled at once; bounds the memory of the vectorised steps unless one text is longer.
-SLICE_BYTES = 1_000_000
+#: Bytes handled at once; with one longer text in a slice, its words are still hashed in blocks of so many.
+SLICE_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -31,9 +31,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for a block of bytes: 4 MB, whatever the texts."""
+    up, down = np.full(SLICE_BYTES, _BASE, np.uint64), np.full(SLICE_BYTES, _INVERSE, np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
@@ -76,12 +77,23 @@ def runs(body: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.
 
 
 def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span of bytes, A-Z read as a-z."""
-    n = len(body)
-    up, down = _powers(1 << max(16, int(n).bit_length()))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[body].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A hash of each span of bytes, A-Z read as a-z; in blocks of ``SLICE_BYTES``, so that no text is too long."""
+    out = np.zeros(len(starts), np.uint64)
+    up, down = _powers()
+    for at in range(0, len(body), SLICE_BYTES):
+        part = body[at : at + SLICE_BYTES]
+        to = at + len(part)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((_LOWER[part].astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        if len(part) == len(body):
+            return mix((sums[ends] - sums[starts]) * down[starts])
+        within = np.flatnonzero((starts >= at) & (starts < to) & (ends <= to))
+        out[within] += (sums[ends[within] - at] - sums[starts[within] - at]) * down[starts[within] - at]
+        for i in np.flatnonzero((starts < to) & (ends > at) & ((starts < at) | (ends > to))):  # spans that lie across blocks
+            a, b = max(int(starts[i]), at), min(int(ends[i]), to)
+            piece = (int(sums[b - at]) - int(sums[a - at])) * int(down[a - at]) * pow(_BASE, a - int(starts[i]), 1 << 64)
+            out[i] = np.uint64((int(out[i]) + piece) % (1 << 64))
+    return mix(out)
 
 
 def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

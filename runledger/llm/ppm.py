@@ -6,9 +6,10 @@ escape d / (n + d) times the chance after the next shorter context, in which wha
 below order 0 all bytes are alike. The statistics are frozen: a text's code length under a language is
 the sum of -log2 over all its bytes, and the shortest code wins.
 
-The trees are fitted on a bounded sample, ``SAMPLE`` texts a language chosen by hash; contexts of order 3
-with fewer than ``LEAST_CONTEXT`` occurrences are pruned to the shorter context, and at most ``CONTEXTS``
-stay, the most frequent. That bounds the tables that every task reads: CONTEXTS + bytes**2 states.
+The trees are fitted on a bounded sample, about ``SAMPLE`` texts a language chosen by hash, and hold every
+context that these have. They are kept sparse: windows of four bytes that any language has seen are found
+in one hash table with their cost under all languages; for any other window the shorter contexts are
+searched, so that code lengths are those of the definition. Long texts are worked on in blocks.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; ties take the first
 language in order; without any labelled text every text is ``und``; rows with a null language are not
@@ -30,10 +31,10 @@ from runledger.llm import textvec
 from runledger.llm.common import columns
 
 SAMPLE = 1000
-LEAST_CONTEXT = 8
-CONTEXTS = 20_000
 ORDER = 3
 LETTER = r"\p{L}"
+_BLOCK = 250_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _windows(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -50,128 +51,167 @@ def _windows(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _blocks(body: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row past the last, codes, where each row's codes end) in blocks; a long text comes in several."""
+    for at, to in textvec.slices(offsets, _BLOCK):
+        own, ends = body[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        if len(own) <= _BLOCK:
+            yield at, to, _windows(own, ends), ends
+            continue
+        for start in range(0, len(own), _BLOCK):
+            lead = min(start, ORDER)
+            part = own[start - lead : start + _BLOCK]
+            codes = _windows(part, np.array([0, len(part)]))[lead:]
+            yield at, to, codes, np.array([0, len(codes)])
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), object)
         for lang in sorted(set(langs)):
             part = batch.filter(pa.array(langs == lang))
-            body, offsets = textvec.buffers(part.column("text"))
-            for at, to in textvec.slices(offsets):
-                codes, n = np.unique(_windows(body[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
+            for _, _, codes, _ in _blocks(*textvec.buffers(part.column("text"))):
+                found, n = np.unique(codes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n)], ["lang", "code", "n"])
+
+
+def _grouped(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, sorted, and the sums of each of the values."""
+    found, place = np.unique(keys, return_inverse=True)
+    return found, *(np.bincount(place, v, len(found)) for v in values)
+
+
+def _find(keys: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each key is among the sorted ones, its place there)."""
+    if not len(among):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    place = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return among[place] == keys, place
+
+
+class _Language:
+    """One language's tree: for each order its windows with their bits, and its contexts with the bits of an escape."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, symbols: int) -> None:
+        self.levels = []
+        below: np.ndarray | None = None  # chances of the windows one order shorter
+        for order in range(ORDER + 1):
+            windows, count = _grouped(code % 257 ** (order + 1), n)
+            contexts, total, kinds = _grouped(windows // 257, count, np.ones(len(windows)))
+            of = np.searchsorted(contexts, windows // 257)
+            chance = count / (total + kinds)[of]
+            shorter = np.full(len(windows), 1 / symbols) if below is None else below[np.searchsorted(self.levels[-1][0], windows % 257**order)]
+            left = 1 - np.bincount(of, shorter, len(contexts))  # what the shorter context leaves to bytes not seen in this one
+            escape = kinds / (total + kinds) / np.maximum(left, 1e-12)
+            self.levels.append((windows, -np.log2(chance), contexts, -np.log2(escape)))
+            below = chance
+
+    def bits(self, codes: np.ndarray, symbols: int) -> np.ndarray:
+        """-log2 of the chance of each window's last byte."""
+        out, open_ = np.zeros(len(codes)), np.arange(len(codes))
+        for order in range(ORDER, -1, -1):
+            windows, bits, contexts, escape = self.levels[order]
+            own = codes[open_] % 257 ** (order + 1)
+            seen, place = _find(own, windows)
+            out[open_[seen]] += bits[place[seen]]
+            open_, own = open_[~seen], own[~seen]
+            known, place = _find(own // 257, contexts)
+            out[open_[known]] += escape[place[known]]
+        out[open_] += np.log2(symbols)
+        return out
 
 
 class Trees:
-    """Frozen tables: bytes -> symbol, contexts -> state, cost[state, symbol, language] in bits."""
-
-    def __init__(self, rows: list[tuple[str, int, int]]) -> None:
-        self.langs = sorted({r[0] for r in rows})
-        lang = np.array([self.langs.index(r[0]) for r in rows], np.int64)
-        code, n = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        digits = [code // 257**k % 257 for k in range(ORDER + 1)]  # the byte itself, then backwards
-        used = np.unique(np.concatenate([*digits, [0]]))
-        self.symbol = np.zeros(257, np.int64)  # 0: start of text; 1: a byte that was never seen
-        self.symbol[1:] = 1
-        self.symbol[used[used > 0]] = np.arange(len(used[used > 0])) + 2
-        self.size = len(used) + 1
-        at = [self.symbol[d] for d in digits]
-        a = self.size
-        keys = [np.zeros_like(code), at[1], at[1] * a + at[2], (at[1] * a + at[2]) * a + at[3]]
-        frequent, often = self._frequent(keys[3], n)
-        del often
-        # states: order 0, order 1 by symbol, order 2 by pair of symbols, then the frequent contexts of order 3
-        base = [0, 1, 1 + a, 1 + a + a * a]
-        self.third = np.full(a**3, -1, np.int32)
-        self.third[frequent] = base[3] + np.arange(len(frequent))
-        pair = np.arange(a**3) // a
-        self.third = np.where(self.third >= 0, self.third, base[2] + pair).astype(np.int32)
-        states = base[3] + len(frequent)
-        cost = np.zeros((len(self.langs), states, a), np.float32)
-        for k in range(len(self.langs)):
-            own = lang == k
-            counts = np.zeros((states, a), np.float32)
-            for order in range(ORDER):
-                np.add.at(counts, (base[order] + keys[order][own], at[0][own]), n[own])
-            deep = np.searchsorted(frequent, keys[3][own])
-            deep = np.minimum(deep, max(0, len(frequent) - 1))
-            known = (frequent[deep] == keys[3][own]) if len(frequent) else np.zeros(own.sum(), bool)
-            np.add.at(counts, (base[3] + deep[known], at[0][own][known]), n[own][known])
-            chance = np.full((states, a), 1 / a, np.float32)
-            parents = [None, np.zeros(a, np.int64), base[1] + np.arange(a * a) // a, base[2] + frequent // a]
-            for order, first in enumerate(base):
-                last = base[order + 1] if order < ORDER else states
-                below = np.full((last - first, a), 1 / a, np.float32) if order == 0 else chance[parents[order]]
-                chance[first:last] = _escape(counts[first:last], below)
-            cost[k] = -np.log2(np.maximum(chance, 1e-12))
-        self.cost = np.ascontiguousarray(cost.transpose(1, 2, 0)).reshape(states * a, len(self.langs)).astype(np.float16)
-
-    @staticmethod
-    def _frequent(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found, place = np.unique(keys, return_inverse=True)
-        total = np.bincount(place, n, len(found)).astype(np.int64)
-        order = np.lexsort((found, -total))[:CONTEXTS]
-        order = order[total[order] >= LEAST_CONTEXT]
-        frequent = np.sort(found[order])
-        return frequent, total
+    """The frozen trees of all languages, with a hash table of all windows of four bytes that any of them has seen."""
+
+    def __init__(self, langs: list[str], codes: np.ndarray, n: np.ndarray) -> None:
+        """Parallel: the language, code and count of each window."""
+        self.langs = sorted(set(langs))
+        digits = np.unique(np.concatenate([codes // 257**k % 257 for k in range(ORDER + 1)]))
+        self.symbols = len(digits[digits > 0]) + 2  # the bytes seen, the text's start, and all other bytes as one
+        own = np.searchsorted(np.array(self.langs, object), np.array(langs, object))
+        self.trees = [_Language(codes[own == k], n[own == k], self.symbols) for k in range(len(self.langs))]
+        self.codes = np.unique(codes)
+        self.cost = np.stack([t.bits(self.codes, self.symbols) for t in self.trees], axis=1)
+        self.shift = np.uint64(64 - max(8, 2 + int(len(self.codes)).bit_length()))
+        self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        left = np.arange(len(self.codes))
+        slot = self._slot(self.codes)
+        while len(left):  # each free slot takes the first of those that want it, the others go one further
+            free = np.flatnonzero(self.slots[slot[left]] < 0)
+            _, first = np.unique(slot[left[free]], return_index=True)
+            took = left[free[first]]
+            self.slots[slot[took]] = took
+            left = np.setdiff1d(left, took, assume_unique=True)
+            slot[left] = (slot[left] + 1) % len(self.slots)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * _ODD) >> self.shift).astype(np.int64)
+
+    def _costs(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of each window under every language."""
+        slot = self._slot(codes)
+        place = self.slots[slot]
+        open_ = np.flatnonzero((place >= 0) & (self.codes[place] != codes))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % len(self.slots)
+            place[open_] = self.slots[slot[open_]]
+            open_ = open_[(place[open_] >= 0) & (self.codes[place[open_]] != codes[open_])]
+        out = self.cost[place]
+        strange = np.flatnonzero(place < 0)
+        if len(strange):
+            found, back = np.unique(codes[strange], return_inverse=True)
+            out[strange] = np.stack([t.bits(found, self.symbols) for t in self.trees], axis=1)[back]
+        return out
 
     def bits(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of every text under every language."""
-        s = self.symbol[body.astype(np.int64) + 1]
-        a = self.size
-        back = []
-        for k in range(1, ORDER + 1):
-            before = np.zeros_like(s)
-            before[k:] = s[:-k]
-            for j in range(k):
-                places = offsets[:-1] + j
-                before[places[places < offsets[1:]]] = 0
-            back.append(before)
-        state = self.third[(back[0] * a + back[1]) * a + back[2]]
-        cost = self.cost[state * np.int64(a) + s].astype(np.float32)
-        sums = np.zeros((len(s) + 1, len(self.langs)))
-        np.cumsum(cost, axis=0, out=sums[1:])
-        return sums[offsets[1:]] - sums[offsets[:-1]]
-
-
-def _escape(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Chances of contexts from their counts and the chances below, seen bytes excluded there."""
-    seen = counts > 0
-    total, kinds = counts.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True).astype(np.float32)
-    rest = np.where(seen, 0, below)
-    left = rest.sum(axis=1, keepdims=True)
-    escaped = np.where(left > 0, kinds / np.maximum(total + kinds, 1), 0) * rest / np.maximum(left, 1e-30)
-    return np.where(total > 0, np.where(seen, counts / np.maximum(total + kinds, 1), escaped), below).astype(np.float32)
+        out = np.zeros((len(offsets) - 1, len(self.langs)))
+        for at, to, codes, ends in _blocks(body, offsets):
+            sums = np.zeros((len(codes) + 1, len(self.langs)))
+            np.cumsum(self._costs(codes), axis=0, out=sums[1:])
+            out[at:to] += sums[ends[1:]] - sums[ends[:-1]]
+        return out
+
+
+def hash_share(key: Column) -> Column:
+    """A number in [0, 1) that depends on the key alone."""
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 52)) / float(1 << 52)
+
+
+def hash_sample(rows: DataFrame, key: str, by: str, sample: int) -> DataFrame:
+    """(key, by): for each value of ``by`` about the ``sample`` keys with the smallest hash, and no more.
+
+    Rows of a value are counted first, and only those below a share of the hashes that holds about twice
+    the sample are ranked: no task sees more than that of one value, however hot it is.
+    """
+    counts = rows.groupBy(by).agg(F.count("*").alias("_n"))  # one row a label
+    few = rows.select(key, by).join(F.broadcast(counts), by).where(hash_share(F.col(key)) < 2.0 * sample / F.col("_n")).select(key, by).distinct()
+    ranked = few.withColumn("_rank", F.row_number().over(W.partitionBy(by).orderBy(hash_share(F.col(key)), key)))
+    return ranked.where(F.col("_rank") <= sample).select(key, by)
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Trees | None:
-    """Trees from rows (key, text, lang): for each language the ``sample`` rows with the smallest hash of the key."""
+    """Trees from rows (key, text, lang): of each language those of the ``sample`` keys with the smallest hash."""
     usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND key IS NOT NULL")
-    ranked = usable.select("key", "lang").withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(F.col("key").cast("string")), "key")))
-    keys = ranked.where(F.col("rank") <= sample).select("key").distinct()  # at most ``sample`` a language
-    found = usable.join(F.broadcast(keys), "key", "left_semi").select("text", "lang")
-    found = found.mapInArrow(_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).collect()
-    return Trees([(r["lang"], r["code"], r["n"]) for r in found]) if found else None
+    keys = hash_sample(usable, "key", "lang", sample)  # at most ``sample`` a language
+    found = usable.join(F.broadcast(keys), ["key", "lang"], "left_semi").select("text", "lang")
+    found = found.mapInArrow(_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    if not found.num_rows:
+        return None
+    return Trees(found.column("lang").to_pylist(), found.column("code").to_numpy().astype(np.int64), found.column("n").to_numpy().astype(np.int64))
 
 
 def _predict(batches: Iterator[pa.RecordBatch], trees, with_text: bool) -> Iterator[pa.RecordBatch]:
     model, left_out = trees.value, ("lettered",) if with_text else ("text", "lettered")
     for batch in batches:
-        body, offsets = textvec.buffers(batch.column("text"))
-        best, score = [], []
-        for at, to in textvec.slices(offsets, 250_000):
-            bits = model.bits(body[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
-            low = bits.min(axis=1, keepdims=True)
-            odds = np.exp2(-np.minimum(bits - low, 500))
-            best.append(bits.argmin(axis=1))
-            score.append(1 / odds.sum(axis=1))
-        names = np.array(model.langs, object)
-        picked = names[np.concatenate(best)] if best else []
+        bits = model.bits(*textvec.buffers(batch.column("text")))
+        odds = np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 500))
         wordless = ~np.array(batch.column("lettered").to_pylist(), bool)
-        picked = np.where(wordless, "und", picked)
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in batch.schema.names if c not in left_out), pa.array(picked.tolist(), pa.string()), pa.array(np.where(wordless, 0.0, np.concatenate(score) if score else []))],
-            [*(c for c in batch.schema.names if c not in left_out), "lang_pred", "score"],
-        )
+        picked = np.where(wordless, "und", np.array(model.langs, object)[bits.argmin(axis=1)])
+        score = np.where(wordless, 0.0, 1 / odds.sum(axis=1))
+        names = [c for c in batch.schema.names if c not in left_out]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(picked.tolist(), pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
 
 def identify(docs: DataFrame, trees: Trees | None, with_text: bool = False) -> DataFrame:
@@ -180,7 +220,7 @@ def identify(docs: DataFrame, trees: Trees | None, with_text: bool = False) -> D
     if trees is None:
         return (docs if with_text else docs.drop("text")).withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
     lettered = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("lettered")
-    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded: CONTEXTS + bytes**2 states
+    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample's texts: their distinct windows of four bytes
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), *["text string"] * with_text, "lang_pred string, score double"])
     return docs.select(*(F.col(f"`{f.name}`") for f in others), "text", lettered).mapInArrow(partial(_predict, trees=shared, with_text=with_text), schema)
 

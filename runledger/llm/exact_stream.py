@@ -19,13 +19,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm.common import columns, maybe_in, new_path, stored
+from runledger.llm.common import columns, located, maybe_in, new_path, stored, without
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: A store on disk; without space set aside for each of many small parts.
+#: A store on disk, without space set aside for each of many small parts; all parts of an executor share a
+#: bounded memory and are closed once their task has ended.
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
@@ -66,46 +70,50 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
 
     ``digest`` is the key of the state; a weaker one only means more bytes to check, never a wrong group.
     """
-    spark = docs.sparkSession
-    texts = columns(docs, doc_id="doc_id", text="text").withColumn("norm", normalised(F.col("text")))
+    texts = columns(docs, doc_id="doc_id", text="text").withColumn("row", F.monotonically_increasing_id()).withColumn("file", F.input_file_name())
+    return _decided(texts, digest, files_a_batch).drop("row", "file")
+
+
+def _decided(texts: DataFrame, digest: Callable[[Column], Column], files_a_batch: int = 1000) -> DataFrame:
+    """The result for rows (doc_id, text, row, file), with row and file."""
+    spark = texts.sparkSession
+    texts = texts.withColumn("norm", normalised(F.col("text"))).withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long"))
     path = new_path(spark, "dedup-log")
-    texts.select(
-        "doc_id", digest(F.col("norm")).alias("digest"), sha256(F.col("norm")).alias("text_sha256"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
-        F.monotonically_increasing_id().alias("row"), F.input_file_name().alias("file"),
-    ).write.parquet(path)
+    texts.select("doc_id", digest(F.col("norm")).alias("digest"), sha256(F.col("norm")).alias("text_sha256"), "n_chars", "row", "file").write.parquet(path)
     log = spark.read.parquet(path)
     groups = keyed_state(spark, log, path, files_a_batch)
-    own = log.select("doc_id", "digest", "text_sha256", "row")
-    joined = own.join(groups, "digest")
+    joined = log.drop("n_chars").join(groups, "digest")
 
     # hits: compare the full bytes of every text whose digest has been seen before
-    hits = joined.where("n > 1").select("doc_id", "digest")
-    bodies = maybe_in(texts.select("doc_id", "norm", digest(F.col("norm")).alias("digest")), "digest", groups.where("n > 1").select("digest"))
+    bodies = maybe_in(texts.select("norm", digest(F.col("norm")).alias("digest")), "digest", groups.where("n > 1").select("digest"))
     differ = bodies.groupBy("digest").agg(F.min("norm").alias("first"), F.max("norm").alias("last")).where("first <> last").select("digest")
     differ = stored(differ, "dedup-clashes")
     if differ.isEmpty():
         return _result(joined)
-    return _result(joined.join(differ, "digest", "left_anti")).unionByName(_result(_by_text(texts, own, log, differ, digest)))
+    return _result(joined.join(differ, "digest", "left_anti")).unionByName(_result(_by_text(texts, differ, digest)))
 
 
-def _by_text(texts: DataFrame, own: DataFrame, log: DataFrame, differ: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+def _by_text(texts: DataFrame, differ: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """Rows of the digests that different texts share, grouped by the texts."""
-    apart = stored(
-        texts.select("norm", digest(F.col("norm")).alias("digest"), "doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.monotonically_increasing_id().alias("row"), F.input_file_name().alias("file")).join(differ, "digest", "left_semi"),
-        "dedup-apart",
-    )
+    apart = stored(texts.select("norm", digest(F.col("norm")).alias("digest"), "doc_id", "n_chars", "row", "file").join(differ, "digest", "left_semi"), "dedup-apart")
     best = F.min(F.struct((-F.col("n_chars")).alias("less"), "doc_id", "row", "file")).alias("best")
     groups = apart.groupBy("norm").agg(best, F.count("*").alias("n"))
-    return apart.select("doc_id", "norm", "row", sha256(F.col("norm")).alias("text_sha256")).join(groups, "norm")
+    return apart.select("doc_id", "norm", "row", "file", sha256(F.col("norm")).alias("text_sha256")).join(groups, "norm")
 
 
 def _result(joined: DataFrame) -> DataFrame:
-    return joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
+    kept = (F.col("row") == F.col("best.row")) & (F.col("file") == F.col("best.file"))
+    return joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), "text_sha256", "row", "file")
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_sha", sha256(normalised(F.col("text")))).withColumn("_id", F.col("doc_id"))
-    one = own.join(kept, own["_id"].eqNullSafe(kept["_id"]) & (own["_sha"] == kept["_sha"]), "left_semi")
-    return one.dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+def drop_copies(docs: DataFrame, plain: bool = False) -> DataFrame:
+    """The rows of docs that stay, with all their columns whatever these are called.
+
+    Rows are told apart by their place (see ``located``), so of equal texts just the one stays that
+    ``exact_dedup`` keeps, be ids null or repeated. Null texts count as empty ones; an empty table stays one.
+    """
+    own = located(docs, plain)
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = _decided(own.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"), F.col("_row").alias("row"), F.col("_file").alias("file")), sha256)
+    gone = stored(rows.where("NOT kept").select(F.col("file").alias("_file"), F.col("row").alias("_row")), "dedup-gone")
+    return without(own, ["_file", "_row"], gone).select(*(F.col(a).alias(c) for c, a in at.items()))

@@ -24,7 +24,8 @@ from runledger.llm.common import columns, stored
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-SALTS = 64
+#: A hot cell's rows are ranked in so many parts at least, and in one more for every ROWS_A_SALT rows of the table.
+SALTS, ROWS_A_SALT = 64, 500_000
 _STEPS_A_ROUND = 4
 _MOST_ROUNDS = 40
 _FILL_PASSES = 6
@@ -114,19 +115,17 @@ def _cell_copies(cells: DataFrame, dual: DataFrame, most: int) -> DataFrame:
     return at.select("src", "size", "cell_n", F.col("k").alias("cell_copies"), "rate", "source_size", "target")
 
 
-def mix(docs: DataFrame, keep: list[str] | None = None, weights=WEIGHTS, most: int = MOST_COPIES, salts: int = SALTS) -> DataFrame:
-    """The mix of docs (doc_id, source, text): size, source_size, target, rate, copies and taken of each row.
+def _mixed(docs: DataFrame, own: dict[str, str], weights, most: int, salts: int | None) -> DataFrame:
+    """docs' columns under the names of own, with what the mix does with each row.
 
-    ``keep``: columns of docs to carry along (default doc_id only); then the new columns are called mix_*. Within a cell of equal source and size
-    the first documents by id take the spare copies; ranks are counted in ``salts`` parts, so that no task
-    holds a hot cell.
+    Within a cell of equal source and size the first documents by id take the spare copies; ranks are
+    counted in parts that grow in number with the table, so that no task holds a hot cell.
     """
-    keep = keep or ["doc_id"]
-    own = {f"k{i}": c for i, c in enumerate(keep)}
+    salts = salts or max(SALTS, docs.count() // ROWS_A_SALT)
     at = columns(docs, id="doc_id", source="source", text="text", **own)
-    at = at.withColumn("size", word_count(F.col("text"))).withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("salt", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(salts)))
+    at = at.withColumn("size", word_count(F.col("text"))).withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("salt", F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(salts)))
     at = at.select("id", "src", "source", "size", "salt", *own)
-    if keep == ["doc_id"]:
+    if list(own.values()) == ["doc_id"]:
         at = stored(at, "mix-sizes")
     parts = stored(at.groupBy("src", "source", "size", "salt").agg(F.count("*").alias("part_n")), "mix-cells")
     cells = parts.groupBy("src", "source", "size").agg(F.sum("part_n").alias("cell_n"))
@@ -139,11 +138,24 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights=WEIGHTS, most: i
     ranked = at.join(parts, ["src", "size", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("src", "size", "salt").orderBy("id")) - 1)
     spare = (F.col("rank") < F.col("cell_copies") % F.col("cell_n")).cast("long")
     ranked = ranked.withColumn("copies", F.floor(F.col("cell_copies") / F.col("cell_n")) + spare)
-    facts = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.col("copies") * F.col("size"), "copies": F.col("copies"), "rate": F.col("rate")}
-    return ranked.select(*(F.col(k).alias(c) for k, c in own.items()), *(f.alias(n if keep == ["doc_id"] else f"mix_{n}") for n, f in facts.items()))
+    return ranked.select(*own, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+
+
+def mix(docs: DataFrame, keep: list[str] | None = None, weights=WEIGHTS, most: int = MOST_COPIES, salts: int | None = None) -> DataFrame:
+    """The mix of docs (doc_id, source, text): size, source_size, target, taken, copies and rate of each row.
+
+    ``keep``: columns of docs to carry along (default doc_id only); then the new columns are called mix_*.
+    """
+    own = {f"k{i}": c for i, c in enumerate(keep or ["doc_id"])}
+    mixed = _mixed(docs, own, weights, most, salts)
+    return mixed.select(*(F.col(k).alias(c) for k, c in own.items()), *(F.col(n).alias(f"mix_{n}" if keep else n) for n in mixed.columns if n not in own))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """The rows of docs with all their columns, each as often as the mix takes it."""
-    mixed = mix(docs, keep=docs.columns).where("mix_copies > 0")
-    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    """The rows of docs with all their columns whatever these are called, each as often as the mix takes it.
+
+    Null and empty texts have size 0 and stay once; ties and repeated rows as in ``mix``; an empty table stays one.
+    """
+    own = {f"k{i}": c for i, c in enumerate(docs.columns)}
+    copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    return _mixed(docs, own, WEIGHTS, MOST_COPIES, None).where("copies > 0").select(*own, copy).select(*(F.col(k).alias(c) for k, c in own.items()))

@@ -10,7 +10,8 @@ writes to will do; files hold at most ``RECORDS_A_FILE`` records.
 Reading: files are parsed record by record as streams; continuation records are grouped with their origin
 by its id, ordered by segment number, checked for gaps and against the total length, and the chunked
 framing is decoded. A record that fails a check comes back with a null payload and the reason in
-``problem``. Revisits take the payload's size and digest from the response they refer to.
+``problem``; where a file breaks off or a record's length is unknown, that record is the last of its file.
+Revisits take the payload's size and digest from the response they refer to.
 
 Defined results: a null html is an empty payload; a null url is ``about:blank``; repeated page ids give one
 record each; of repeated rows of the smallest page_id all are responses; a null page_id is always a
@@ -39,7 +40,7 @@ RECORDS_A_FILE = 2_000
 RECORD_END = "\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _BATCH_BYTES = 4_000_000
-_RAW = "record_id string, origin_id string, segment int, total long, kind string, page_id long, refers_to string, digest string, block binary"
+_RAW = "record_id string, origin_id string, segment int, total long, kind string, page_id long, refers_to string, digest string, problem string, block binary"
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
@@ -127,6 +128,14 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
+class BrokenRecord(ValueError):
+    """A record that can't be read, with the fields of its header; nothing behind it can be found."""
+
+    def __init__(self, reason: str, fields: dict[str, str]) -> None:
+        super().__init__(reason)
+        self.fields = fields
+
+
 def parsed(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields by lower-case name, block) of each record of an open archive."""
     while True:
@@ -136,34 +145,57 @@ def parsed(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         if line == b"\r\n":
             continue
         if not line.startswith(b"WARC/"):
-            raise ValueError(f"no record starts with {line[:40]!r}")
+            raise BrokenRecord(f"no record starts with {line[:40]!r}", {})
         fields: dict[str, str] = {}
         while (line := stream.readline()) not in (b"\r\n", b""):
             name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
-        size = int(fields["content-length"])
-        block = stream.read(size)
-        if len(block) != size:
-            raise ValueError("the archive ends within a record")
+        size = fields.get("content-length", "")
+        if not size.isdigit():
+            raise BrokenRecord("a record without its length", fields)
+        try:
+            block = stream.read(int(size))
+        except (OSError, EOFError) as e:
+            raise BrokenRecord("the archive ends within a record", fields) from e
+        if len(block) != int(size):
+            raise BrokenRecord("the archive ends within a record", fields)
         yield fields, block
 
 
+def _readable(stream) -> Iterator[tuple[dict[str, str], bytes | None, str | None]]:
+    """(fields, block, problem) of each record; a broken one, without block, is the last."""
+    try:
+        for fields, block in parsed(stream):
+            yield fields, block, None
+    except BrokenRecord as e:
+        yield e.fields, None, str(e)
+    except (OSError, EOFError) as e:  # the compression breaks off between records
+        yield {}, None, f"the archive can't be read on: {type(e).__name__}"
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, kinds = zip(*(c.split() for c in _RAW.split(", ")), strict=True)
     kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[k] for k in kinds]
     bare = lambda x: x.strip("<>") if x else None
-    number = lambda x: int(x) if x else None
     for batch in batches:
         for content in batch.column("content"):
             raw = content.as_buffer()
             stream = io.BufferedReader(gzip.GzipFile(fileobj=pa.BufferReader(raw))) if raw[:2].to_pybytes() == b"\x1f\x8b" else pa.BufferReader(raw)
             stream = stream if hasattr(stream, "peek") else io.BufferedReader(io.BytesIO(raw.to_pybytes()))
             rows, held = [], 0
-            for f, block in parsed(stream):
+            for f, block, problem in _readable(stream):
+                numbers = {}
+                for field, most in (("warc-segment-number", 1 << 31), ("warc-segment-total-length", 1 << 63), ("x-page-id", 1 << 63)):
+                    try:
+                        numbers[field] = int(f[field]) if f.get(field) else None
+                        if numbers[field] is not None and not -most <= numbers[field] < most:
+                            raise ValueError
+                    except ValueError:
+                        numbers[field], problem = None, problem or f"{field} is no number"
                 own = bare(f.get("warc-record-id"))
                 digest = f.get("warc-payload-digest", "").removeprefix("sha256:") or None
-                rows.append((own, bare(f.get("warc-segment-origin-id")) or own, number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), f.get("warc-type"), number(f.get("x-page-id")), bare(f.get("warc-refers-to")), digest, block))
-                held += len(block)
+                rows.append((own, bare(f.get("warc-segment-origin-id")) or own, *list(numbers.values())[:2], f.get("warc-type"), numbers["x-page-id"], bare(f.get("warc-refers-to")), digest, problem, block))
+                held += len(block or b"")
                 if held >= _BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
                     rows, held = [], 0
@@ -199,6 +231,8 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, segments in enumerate(batch.column("segments")):
             payload, problem = None, None
             try:
+                if found := batch.column("problem")[i].as_py():
+                    raise ValueError(found)
                 block = reassembled([(s["segment"].as_py(), s["total"].as_py(), s["block"].as_py()) for s in segments])
                 head, gap, body = block.partition(b"\r\n\r\n")
                 if not gap:
@@ -225,9 +259,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, _RAW)
     names = ("kind", "page_id", "refers_to", "digest")
     part = F.struct("segment", "total", "block")
-    whole = raw.where("segment IS NULL").select("record_id", *names, F.array(part).alias("segments"))
+    whole = raw.where("segment IS NULL").select("record_id", *names, F.array(part).alias("segments"), "problem")
     meta = [F.max(F.when(F.col("kind") != "continuation", F.col(c))).alias(c) for c in names]
-    joined = raw.where("segment IS NOT NULL").groupBy(F.col("origin_id").alias("record_id")).agg(*meta, F.collect_list(part).alias("segments"))
+    joined = raw.where("segment IS NOT NULL").groupBy(F.col("origin_id").alias("record_id")).agg(*meta, F.collect_list(part).alias("segments"), F.max("problem").alias("problem"))
     return whole.unionByName(joined).mapInArrow(_payloads, "record_id string, kind string, page_id long, refers_to string, digest string, payload binary, problem string")
 
 

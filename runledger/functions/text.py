@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Payload keys whose values are secrets.
-SECRET_KEYS = ("api_key", "apikey", "authorization", "access_token", "refresh_token", "token", "password", "secret", "cookie", "set_cookie")
+SECRET_KEYS = ("api_key", "apikey", "authorization", "access_token", "refresh_token", "client_secret", "token", "password", "secret", "cookie", "set_cookie")
 
 
 def shape(text: Column) -> dict[str, Column]:
@@ -21,9 +21,13 @@ def content_summary(text: Column) -> Column:
     return F.struct(F.sha2(text, 256).alias("sha256"), F.char_length(text).alias("chars"), F.octet_length(text).alias("bytes"))
 
 
+#: The scheme name and token68 of RFC 6750 and RFC 7235: letters, digits and -._~+/ with = at the end.
+_BEARER = r"(?i)\bbearer\s+[A-Za-z0-9\-._~+/]+=*"
+
+
 def redacted_text(text: Column) -> Column:
     """Bearer credentials in running text."""
-    return F.regexp_replace(text, r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]")
+    return F.regexp_replace(text, _BEARER, "Bearer [REDACTED]")
 
 
 def redacted_map(payload: Column) -> Column:
@@ -32,10 +36,21 @@ def redacted_map(payload: Column) -> Column:
     return F.transform_values(payload, lambda k, v: F.when(secret(k), F.lit("[REDACTED]")).otherwise(redacted_text(v)))
 
 
+_STRING = r'"(?:[^"\\]|\\.)*"'
+_FLAT = rf'(?:[^{{}}\[\]"]|{_STRING})*'
+_NESTED = _FLAT
+for _ in range(3):
+    _NESTED = rf"(?:{_FLAT}|[{{\[]{_NESTED}[}}\]])*"
+
+
 def redacted_json(text: Column) -> Column:
-    """A JSON text with the string values of secret keys replaced at any depth, and credentials in the others."""
+    """A JSON text with the values of secret keys replaced at any depth, be they texts, numbers, objects or lists, and
+    credentials in the others. A secret nested deeper than three levels takes the whole text with it."""
     keys = "|".join(k.replace("_", "[_-]?") for k in SECRET_KEYS)
-    return redacted_text(F.regexp_replace(text, rf'(?i)("(?:{keys})"\s*:\s*)"(?:[^"\\]|\\.)*"', '$1"[REDACTED]"'))
+    value = rf"(?:{_STRING}|[{{\[]{_NESTED}[}}\]]|[^\s,{{}}\[\]\"]+)"
+    out = F.regexp_replace(text, rf'(?i)("(?:{keys})"\s*:\s*){value}', '$1"[REDACTED]"')
+    left = out.rlike(rf'(?i)"(?:{keys})"\s*:\s*[{{\[]')
+    return F.when(left, F.lit("[REDACTED]")).otherwise(redacted_text(out))
 
 
 def row_identity(*columns: Column) -> Column:

@@ -112,3 +112,64 @@ def encoder_statistics(df: DataFrame, numbers: Sequence[str], texts: Sequence[st
     for w in words:
         out = out.unionByName(w)
     return out
+
+
+def distribution(df: DataFrame, value: str) -> DataFrame:
+    """Least, most, sum and mean of a count column, and how often each value occurs: one row a value."""
+    whole = df.agg(F.min(value).alias("least"), F.max(value).alias("most"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
+    return df.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(whole))  # one row
+
+
+def four_states(rows: DataFrame, by: Sequence[str] = (), status: str = "label_status") -> DataFrame:
+    """How many rows are observed, missing, censored and invalid."""
+    return rows.groupBy(*by).agg(*(F.count_if(F.col(status) == s).alias(s) for s in ("observed", "missing", "censored", "invalid")))
+
+
+def flag_counts(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """One row a flag: rows where it is true, false and unknown."""
+    sums = df.agg(*(F.count_if(x).alias(f"{n}_{k}") for n, c in flags.items() for k, x in (("t", c), ("f", ~c), ("u", c.isNull()))))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(n).alias("flag"), F.col(f"{n}_t").alias("true_count"), F.col(f"{n}_f").alias("false_count"), F.col(f"{n}_u").alias("unknown_count")) for n in flags))).alias("x")).select("x.*")
+
+
+def evaluator_status(outcomes: DataFrame, reports: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Outcomes (outcome: 1 resolved, 2 not, 3 no result, 4 broken, 5 cut off) against the reports of their runs
+    (report_count, report_resolved): observed where exactly one report agrees, missing without any, censored, else invalid."""
+    at = outcomes.join(reports, list(keys), "left").withColumn("report_count", F.coalesce("report_count", F.lit(0)))
+    judged, said = F.col("outcome").isin(1, 2), F.col("report_resolved") == F.when(F.col("outcome") == 1, 1).otherwise(0)
+    agrees = judged & (F.col("report_count") == 1) & F.coalesce(said, F.lit(False))
+    missing = (F.col("outcome") == 3) | (judged & (F.col("report_count") == 0))
+    return at.agg(F.count_if(agrees).alias("observed"), F.count_if(missing).alias("missing"), F.count_if(F.col("outcome") == 5).alias("censored"), F.count_if((F.col("outcome") == 4) | (judged & ~agrees & ~missing)).alias("invalid"))
+
+
+def ledger_reconciliation(one: DataFrame, two: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Two ledgers of the same calls: entries that agree, differ, are in the first only (extra) and in the second only (missing)."""
+    a = one.select(*keys, F.struct(*values).alias("a"))
+    b = two.select(*keys, F.struct(*values).alias("b"))
+    both = a.join(b, list(keys), "full_outer")
+    same, there = F.col("a").eqNullSafe(F.col("b")), F.col("a").isNotNull() & F.col("b").isNotNull()
+    return both.agg(F.count_if(there & same).alias("agreeing"), F.count_if(there & ~same).alias("disagreeing"), F.count_if(F.col("b").isNull()).alias("extra"), F.count_if(F.col("a").isNull()).alias("missing"))
+
+
+def totals_agree(said: DataFrame, counted: DataFrame) -> DataFrame:
+    """One row a column of two one-row aggregates: both values and whether they are equal."""
+    own = [c for c in said.columns if c in counted.columns]
+    both = said.select(F.struct(*own).alias("s")).crossJoin(F.broadcast(counted.select(F.struct(*own).alias("c"))))  # one row each
+    return both.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"s.{c}").cast("long").alias("said"), F.col(f"c.{c}").cast("long").alias("counted")) for c in own))).alias("x")).select("x.*", F.col("x.said").eqNullSafe(F.col("x.counted")).alias("agrees"))
+
+
+def transitions(snapshots: DataFrame) -> DataFrame:
+    """How each request's messages follow from those before: snapshots (trajectory_id, seq, fingerprints, roles, may_repeat).
+
+    ``extension``: the old messages and more, beginning with the answer; ``unanswered``: and one user message only;
+    ``repeat``: the same again, where that may be; ``reset``: a new system and user message; else ``broken``.
+    """
+    w = W.partitionBy("trajectory_id").orderBy("seq")
+    at = snapshots.withColumns({"next": F.lead("fingerprints").over(w), "next_roles": F.lead("roles").over(w)}).where("next IS NOT NULL")
+    n, m = F.size("fingerprints"), F.size("next")
+    prefix = F.slice("next", F.lit(1), n) == F.col("fingerprints")
+    first = F.get("next_roles", n)
+    kind = (
+        F.when((F.col("next") == F.col("fingerprints")) & F.col("may_repeat"), "repeat").when((m == 2) & (F.col("next_roles") == F.array(F.lit("system"), F.lit("user"))) & ~prefix, "reset")
+        .when((m > n) & prefix & (m == n + 1) & (first == "user"), "unanswered").when((m > n) & prefix & (first == "assistant"), "extension").otherwise("broken")
+    )
+    return at.select("trajectory_id", "seq", kind.alias("transition"))

@@ -8,12 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from runledger.operators.metrics import interval_score
+from runledger.sources.tables import kept
+
 
 def draw(seed: str, n):
     """Draw i of replicate b out of n: 32 bits of md5(seed|b|i) modulo n."""
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("b").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long"), n)
 
 
+def _numbered(tasks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """tasks (one row a task_id and group) with their place in order of task_id, from 0, and the group's size ``n``.
+
+    Places are counted in ranges of task_id, written once, so that no task numbers a whole group.
+    """
+    by = list(by)
+    dealt = kept(tasks.repartitionByRange("task_id").withColumn("_range", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_k"))
+    group = W.partitionBy(*(by or (F.lit(0),)))
+    sizes = sizes.withColumn("_before", F.sum("_k").over(group.orderBy("_range")) - F.col("_k")).withColumn("n", F.sum("_k").over(group)).drop("_k")
+    place = F.row_number().over(W.partitionBy(*by, "_range").orderBy("task_id")) - 1 + F.col("_before")
+    return dealt.join(sizes, [*by, "_range"]).withColumn("place", place).drop("_range", "_before")
+
+
 def paired_bootstrap(paired: DataFrame, replicates: int, seed: str, by: Sequence[str] = ()) -> DataFrame:
     """Bootstrap of the weighted MAE difference (candidate - reference), resampling tasks.
 
@@ -22,8 +39,7 @@ def paired_bootstrap(paired: DataFrame, replicates: int, seed: str, by: Sequence
     than one replicate's tasks. Returns means, the type-7 95 % interval and the share of replicates won.
     """
     tasks = paired.groupBy(*by, "task_id").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("candidate")).alias("c"), F.sum(F.col("weight") * F.col("reference")).alias("r"))
-    group = W.partitionBy(*(by or (F.lit(0),)))
-    numbered = tasks.withColumn("place", F.row_number().over(group.orderBy("task_id")) - 1).withColumn("n", F.count("*").over(group))
+    numbered = _numbered(tasks, by)
     # every task's place doubles as a draw's number i
     draws = numbered.select(*by, F.col("place").alias("i"), "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b")).withColumn("place", draw(seed, F.col("n"))).select(*by, "b", "place")
     sums = draws.join(numbered.drop("task_id", "n"), [*by, "place"]).groupBy(*by, "b").agg(F.sum("w").alias("w"), F.sum("c").alias("c"), F.sum("r").alias("r"))
@@ -110,3 +126,52 @@ def closes_over_tasks(suite: DataFrame, tasks: DataFrame, by: Sequence[str] = ()
     mean = tasks.groupBy(*by).agg((F.sum(F.col("weight_sum") * F.col("mae")) / F.sum("weight_sum")).alias("_mae"))
     both = suite.join(mean, list(by)) if by else suite.crossJoin(mean)
     return both.select(*by, (F.abs(F.col("mae") - F.col("_mae")) <= tolerance * F.greatest(F.lit(1.0), F.abs("mae"))).alias("closes"))
+
+
+def _resampled(tasks: DataFrame, sums: Sequence[str], replicates: int, seed: str, by: Sequence[str]) -> DataFrame:
+    """The sums of resampled tasks, one row a replicate."""
+    numbered = _numbered(tasks, by)
+    draws = numbered.select(*by, F.col("place").alias("i"), "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b")).withColumn("place", draw(seed, F.col("n"))).select(*by, "b", "place")
+    return draws.join(numbered.drop("task_id", "n"), [*by, "place"]).groupBy(*by, "b").agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def across_conditions_bootstrap(errors: DataFrame, replicates: int, seed: str) -> DataFrame:
+    """Tasks that every condition has, errors (condition_id, task_id, candidate, reference: MAE of the task): the mean
+    difference over conditions first and tasks then, with its nearest-rank 95 % interval over resampled tasks."""
+    own = in_all_conditions(errors)
+    tasks = own.groupBy("task_id").agg(F.avg(F.col("candidate") - F.col("reference")).alias("delta"))
+    enough = tasks.agg(F.count("*").alias("n_tasks"), F.avg("delta").alias("mean_mae_delta"))
+    enough = enough.withColumn("n_tasks", F.when(F.col("n_tasks") < 2, F.raise_error(F.lit("fewer than two matched tasks")).cast("long")).otherwise(F.col("n_tasks")))
+    boot = _resampled(tasks.withColumn("w", F.lit(1)), ["w", "delta"], replicates, seed, ()).withColumn("delta", F.col("delta") / F.col("w"))
+    rank = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY delta)")
+    return enough.crossJoin(boot.agg(rank(0.025).alias("ci_low"), rank(0.975).alias("ci_high"), F.avg((F.col("delta") < 0).cast("double")).alias("win_probability")))
+
+
+def interval_bootstrap(paired: DataFrame, replicates: int, seed: str, alpha: float = 0.10) -> DataFrame:
+    """Two differences over the same resampled tasks: the weighted interval score and the share of tasks whose points are
+    all covered. paired (task_id, truth, weight, lower, upper, other_lower, other_upper): candidate and reference."""
+    other = paired.select("task_id", "truth", "weight", F.col("other_lower").alias("lower"), F.col("other_upper").alias("upper"))
+    one = lambda df, name: df.groupBy("task_id").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * interval_score(alpha)).alias(f"{name}_s"), F.min(F.col("truth").between(F.col("lower"), F.col("upper")).cast("double")).alias(f"{name}_c"))
+    tasks = one(paired, "a").join(one(other, "b").drop("w"), "task_id").withColumn("k", F.lit(1.0))
+    both = (((F.col("a_s") - F.col("b_s")) / F.col("w")).alias("interval_score_delta"), ((F.col("a_c") - F.col("b_c")) / F.col("k")).alias("task_coverage_delta"))
+    names, sums = ("interval_score_delta", "task_coverage_delta"), ["w", "k", "a_s", "b_s", "a_c", "b_c"]
+    boot = _resampled(tasks, sums, replicates, seed, ()).select(*both)
+    bounds = boot.agg(*(F.percentile(c, q).alias(f"{c}_{n}") for c in names for n, q in (("low", 0.025), ("high", 0.975))))
+    return tasks.agg(F.count("*").alias("n_tasks"), *(F.sum(c).alias(c) for c in sums)).select("n_tasks", *both).crossJoin(bounds)
+
+
+def key_mismatches(one: DataFrame, two: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that one side has and the other lacks, or has more often: (keys, one, two), empty for equal sides."""
+    n = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    both = n(one, "one").join(n(two, "two"), list(keys), "full_outer")
+    return both.select(*keys, F.coalesce("one", F.lit(0)).alias("one"), F.coalesce("two", F.lit(0)).alias("two")).where("one <> two")
+
+
+def union_sources(*sources: DataFrame) -> DataFrame:
+    """One dataset of several sources' events; a run that two sources have fails the query."""
+    out = None
+    for i, s in enumerate(sources):
+        own = s.withColumn("source", F.lit(i))
+        out = own if out is None else out.unionByName(own)
+    several = out.groupBy("trajectory_id").agg(F.count_distinct("source").alias("_n"))
+    return out.join(several, "trajectory_id").withColumn("trajectory_id", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("several sources have "), "trajectory_id")).cast("string")).otherwise(F.col("trajectory_id"))).drop("_n")

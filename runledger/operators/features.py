@@ -1,11 +1,14 @@
 """Prefix-causal features at every request: what is visible up to and including the boundary event.
 
-All windows share the partitioning and order of a trajectory, so one exchange and one sort serve them.
+Windows over a run share its partitioning and order; those over closed calls are partitioned by the run as well and
+ordered by call, so all of them are served by one exchange on the trajectory.
 A call closes when the next request is built; its facts show from then on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -104,13 +107,44 @@ def request_sizes(events: DataFrame) -> DataFrame:
     )
 
 
-def snapshots(events: DataFrame) -> DataFrame:
-    """One wide row of features for every request: the boundary, its cutoff and all prefix facts."""
+def snapshots(events: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """One wide row of features for every request: the boundary, its cutoff and all prefix facts.
+
+    ``keep`` may write the running state, which two branches read.
+    """
     events = events.repartition("trajectory_id")
-    state = running_state(events)
+    state = keep(running_state(events), "state")
     history = closed_call_history(call_facts(state))
     at = state.where("event_type = 'request_built'").select(
         "trajectory_id", F.col("event_id").alias("source_event_id"), "logical_call_id", F.col("event_seq").alias("cutoff_event_seq"), "event_seq", "call_ordinal", *COUNTERS,
         (F.col("call_ordinal") - 1).alias("completed_call_count"), "repeated_action_count_3", "task_tokens", "max_steps", "model_id", "agent_id", "reasoning_effort",
     )
     return at.join(history, ["trajectory_id", "call_ordinal"], "left").join(request_sizes(events), ["trajectory_id", "event_seq"]).drop("event_seq")
+
+
+#: Feature groups by name: what a feature set may take or leave as a whole.
+GROUPS = {
+    "counters": COUNTERS,
+    "request": ("current_request_tokens_local", "request_delta_tokens", "context_utilization"),
+    "launch": ("task_tokens", "max_steps", "model_id", "agent_id", "reasoning_effort"),
+}
+
+
+def selected(snapshots: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), keys: Sequence[str] = ("trajectory_id", "cutoff_event_seq")) -> DataFrame:
+    """Keys and a feature set: names or groups to include (all if none), less those to exclude; an unknown name is an error."""
+    def names(asked: Sequence[str]) -> list[str]:
+        out = [n for a in asked for n in GROUPS.get(a, (a,))]
+        if unknown := sorted(set(out) - set(snapshots.columns)):
+            raise ValueError(f"no such features: {unknown}")
+        return out
+
+    kept = set(names(include) or snapshots.columns) - set(names(exclude)) - set(keys)
+    return snapshots.select(*keys, *(c for c in snapshots.columns if c in kept))
+
+
+def with_request_shape(points: DataFrame, shapes: DataFrame) -> DataFrame:
+    """points with the shape of their request (trajectory_id, event_seq, ...), joined on the run and the very cutoff; a
+    point without its request fails the query."""
+    own = shapes.withColumnRenamed("event_seq", "cutoff_event_seq").withColumn("_there", F.lit(True))
+    out = points.join(own, ["trajectory_id", "cutoff_event_seq"], "left")
+    return out.withColumn("trajectory_id", F.when(F.col("_there").isNull(), F.raise_error(F.lit("a point has no request at its cutoff")).cast("string")).otherwise(F.col("trajectory_id"))).drop("_there")

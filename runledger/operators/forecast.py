@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.operators.metrics import step_quantile
+from runledger.operators.metrics import reached, step_quantile
 
 
-def fit_empirical(train: DataFrame, by: Sequence[str], alpha: float = 0.10) -> DataFrame:
+def fit_empirical(train: DataFrame, by: Sequence[str], alpha: float = 0.10, validation: DataFrame | None = None) -> DataFrame:
     """Weighted step quantiles alpha/2, 1/2 and 1 - alpha/2 of the label in each group."""
     return step_quantile(train, F.col("label_value").cast("double"), {"lower": alpha / 2, "point": 0.5, "upper": 1 - alpha / 2}, by)
 
@@ -48,24 +47,13 @@ def predict_bands(rows: DataFrame, params: DataFrame, estimate: str, by: Sequenc
     return out.withColumn("lower", F.least(F.greatest(F.lit(0.0), F.col(estimate) + F.col("low")), "point")).withColumn("upper", F.greatest(F.col(estimate) + F.col("high"), F.col("point"))).drop("low", "high")
 
 
-def repaired(lower: Column, point: Column, upper: Column) -> Column:
-    """A forecast made valid: nothing negative, lower <= point <= upper."""
-    p = F.greatest(F.lit(0.0), point)
-    return F.struct(F.least(F.greatest(F.lit(0.0), lower), p).alias("lower"), p.alias("point"), F.greatest(F.greatest(F.lit(0.0), upper), p).alias("upper"))
-
-
-def valid_forecast() -> Column:
-    return (F.col("lower") >= 0) & (F.col("lower") <= F.col("point")) & (F.col("point") <= F.col("upper"))
-
-
 def fit_conformal(calibration: DataFrame, by: Sequence[str], alpha: float = 0.10) -> DataFrame:
     """Split conformal with one score a task, its worst miss: the ceil((n + 1)(1 - alpha))-th smallest (expansion) of each group."""
     miss = F.greatest(F.col("lower") - F.col("truth"), F.col("truth") - F.col("upper"), F.lit(0.0))
     tasks = calibration.groupBy(*by, "task_id").agg(F.max(miss).alias("score"))
-    group = W.partitionBy(*(by or (F.lit(0),)))
-    ranked = tasks.withColumn("_r", F.row_number().over(group.orderBy("score", "task_id"))).withColumn("_n", F.count("*").over(group))
-    rank = F.least(F.col("_n"), F.greatest(F.lit(1), F.ceil((F.col("_n") + 1) * F.lit(1 - alpha))))
-    return ranked.where(F.col("_r") == rank).select(*by, F.col("score").alias("expansion"), F.col("_n").alias("calibration_tasks"))
+    rank = F.least(F.col("_t"), F.greatest(F.lit(1), F.ceil((F.col("_t") + 1) * F.lit(1 - alpha))))
+    equal = tasks.groupBy(*by, F.col("score").alias("_v")).agg(F.count("*").alias("_w"))
+    return reached(equal, {"expansion": rank}, by).join(tasks.groupBy(*by).agg(F.count("*").alias("calibration_tasks")), list(by)) if by else reached(equal, {"expansion": rank}).crossJoin(tasks.agg(F.count("*").alias("calibration_tasks"))).where("calibration_tasks > 0")
 
 
 def calibrated(forecasts: DataFrame, expansion: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -75,18 +63,19 @@ def calibrated(forecasts: DataFrame, expansion: DataFrame, by: Sequence[str]) ->
     return out.withColumn("lower", F.greatest(F.lit(0.0), F.col("raw_lower") - F.col("expansion"))).withColumn("upper", F.greatest(F.col("point"), F.col("raw_upper") + F.col("expansion"))).drop("expansion")
 
 
-def cross_validated(rows: DataFrame, folds: DataFrame, k: int, cell: Sequence[str] = ("condition_id",), alpha: float = 0.10, fit: Callable[[DataFrame, Sequence[str], float], DataFrame] = fit_empirical) -> DataFrame:
+def cross_validated(rows: DataFrame, folds: DataFrame, k: int, cell: Sequence[str] = ("condition_id",), alpha: float = 0.10, fit: Callable[[DataFrame, Sequence[str], float, DataFrame], DataFrame] = fit_empirical) -> DataFrame:
     """All folds at once: fit on train, calibrate on the next fold, forecasts of every row by the model that hasn't seen its task.
 
     rows (task_id, label_value, weight, cell ...); folds (task_id, fold). ``fit`` is the hook for own
-    forecasters: (train, by, alpha) -> parameters lower, point, upper a group.
+    forecasters: (train, by, alpha, validation) -> parameters lower, point, upper a group. The validation fold is
+    there for a forecaster that stops early or picks settings by it; the baselines leave it alone.
     """
     from runledger.operators.splits import roles
 
     by = [*cell, "test_fold"]
     # every row once for each test fold; roles are arithmetic on the fold, so only (task_id, fold) is joined
     seen = roles(rows.join(folds.select("task_id", "fold"), "task_id"), k).withColumn("truth", F.col("label_value").cast("double"))
-    params = fit(seen.where("role IN ('train', 'validation')"), by, alpha)
+    params = fit(seen.where("role = 'train'"), by, alpha, seen.where("role = 'validation'"))
     expansion = fit_conformal(seen.where("role = 'calibration'").join(params, by), by, alpha)
     return calibrated(seen.where("role = 'test'").join(params, by), expansion, by)
 

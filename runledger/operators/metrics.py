@@ -22,16 +22,40 @@ def interval_score(alpha: float) -> Column:
     return F.col("upper") - F.col("lower") + F.when(below > 0, 2 / alpha * below).when(above > 0, 2 / alpha * above).otherwise(0.0)
 
 
-def step_quantile(df: DataFrame, value: Column, qs: dict[str, float], by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
-    """Weighted lower-step quantiles: the first value at which the running weight reaches q of the whole.
+#: A group's distinct values are cut into so many ranges; only the ranges that hold a wanted value are sorted.
+RANGES = 64
+#: Share of a group's weight that sums of doubles in another order may be off by: a running weight that misses by less has reached.
+ROUNDING = 1e-12
+
+
+def reached(summed: DataFrame, wanted: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """For each group of summed (by, _v, _w; distinct _v) the first value at which the running weight reaches
+    ``wanted``, columns over the group's whole weight ``_t``; the largest value where none does.
 
-    Equal values are summed before the window, which shrinks it to the distinct values of a group.
+    Ranges of values are summed first and their running sums tell which range holds each value, so that no
+    task sorts a whole group.
     """
+    by, names = list(by), list(wanted)
+    join = lambda one, two, keys, how="inner": one.join(two, keys, how) if keys else one.crossJoin(two)
+    goals = summed.groupBy(*by).agg(F.sum("_w").alias("_t"), F.max("_v").alias("_top"), F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts"))
+    goals = goals.select(*by, "_top", "_cuts", *((x - ROUNDING * F.col("_t")).alias(f"_g{i}") for i, x in enumerate(wanted.values())))
+    at = join(summed, goals, by).withColumn("_range", F.size(F.filter("_cuts", lambda cut: cut < F.col("_v")))).drop("_cuts", "_top")
+    sums = at.groupBy(*by, "_range", *(f"_g{i}" for i in range(len(names)))).agg(F.sum("_w").alias("_s"), F.max("_v").alias("_last"))
+    sums = sums.withColumn("_upto", F.sum("_s").over(W.partitionBy(*(by or (F.lit(0),))).orderBy("_range"))).withColumn("_before", F.col("_upto") - F.col("_s"))
+    hit = [(F.col("_before") < F.col(f"_g{i}")) & (F.col("_upto") >= F.col(f"_g{i}")) for i in range(len(names))]
+    sums = sums.select(*by, "_range", "_before", "_last", *(h.alias(f"_h{i}") for i, h in enumerate(hit))).where(" OR ".join(f"_h{i}" for i in range(len(names))))
+    inside = W.partitionBy(*by, "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    at = at.join(sums, [*by, "_range"]).withColumn("_c", F.col("_before") + F.sum("_w").over(inside))
+    first = [F.min(F.when(F.col(f"_h{i}") & ((F.col("_c") >= F.col(f"_g{i}")) | (F.col("_v") == F.col("_last"))), F.col("_v"))).alias(n) for i, n in enumerate(names)]
+    found = at.groupBy(*by).agg(*first)
+    return join(goals.select(*by, "_top"), found, by, "left").select(*by, *(F.coalesce(n, "_top").alias(n) for n in names))
+
+
+def step_quantile(df: DataFrame, value: Column, qs: dict[str, float], by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
+    """Weighted lower-step quantiles: the first value at which the running weight reaches q of the whole."""
     weight = F.col("weight") if weight is None else weight
     summed = df.select(*by, value.alias("_v"), weight.alias("_w")).groupBy(*by, "_v").agg(F.sum("_w").alias("_w"))
-    group = W.partitionBy(*(by or (F.lit(0),)))
-    summed = summed.withColumn("_c", F.sum("_w").over(group.orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("_t", F.sum("_w").over(group))
-    return summed.groupBy(*by).agg(*(F.coalesce(F.min(F.when(F.col("_c") >= q * F.col("_t"), F.col("_v"))), F.max("_v")).alias(name) for name, q in qs.items()))
+    return reached(summed, {name: q * F.col("_t") for name, q in qs.items()}, by)
 
 
 def suite(scored: DataFrame, by: Sequence[str] = (), alpha: float = 0.10) -> DataFrame:
@@ -40,7 +64,9 @@ def suite(scored: DataFrame, by: Sequence[str] = (), alpha: float = 0.10) -> Dat
     covered = (F.col("lower") <= F.col("truth")) & (F.col("truth") <= F.col("upper"))
     num = lambda c: c.cast("double")
     width = F.col("upper") - F.col("lower")
-    bad = F.when((F.col("weight") <= 0) | F.isnan("weight") | F.isnan(F.col("truth").cast("double")), F.raise_error(F.lit("weights must be positive and truths finite")).cast("double"))
+    truth = F.col("truth").cast("double")
+    infinite = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    bad = F.when(infinite(F.col("weight").cast("double")) | (F.col("weight") <= 0) | infinite(truth), F.raise_error(F.lit("weights must be positive and truths finite")).cast("double"))
     base = scored.withColumn("weight", F.coalesce(bad, F.col("weight"))).withColumn("covered", covered)
     absolute = F.sum(F.col("weight") * F.abs("truth"))
     sums = base.groupBy(*by).agg(
@@ -125,3 +151,43 @@ def pinball(scored: DataFrame, quantiles: dict[str, float], by: Sequence[str] =
         return weighted_mean(F.greatest(q * e, (q - 1) * e)).alias(f"pinball_{c}")
 
     return scored.groupBy(*by).agg(*(loss(c, q) for c, q in quantiles.items()))
+
+
+def raw_suite(scored: DataFrame, by: Sequence[str] = (), alpha: float = 0.10) -> DataFrame:
+    """The interval metrics of the forecasts before calibration (raw_lower, raw_point, raw_upper), made valid first, as
+    raw_*, and how often the raw triple crosses. All rows have it or none, else the query fails; with none all are null."""
+    raw = ("raw_lower", "raw_point", "raw_upper")
+    has = F.coalesce(*(F.col(c).isNotNull() for c in raw[:1]))
+    n = scored.groupBy(*by).agg(F.count("*").alias("_n"), F.count_if(has).alias("_k"))
+    n = n.withColumn("_k", F.when((F.col("_k") > 0) & (F.col("_k") < F.col("_n")), F.raise_error(F.lit("raw forecasts must be there for all rows or for none")).cast("long")).otherwise(F.col("_k")))
+    at = scored.where(has).withColumn("crossing", ((F.col("raw_lower") > F.col("raw_point")) | (F.col("raw_point") > F.col("raw_upper"))).cast("double"))
+    point = F.greatest(F.lit(0.0), F.col("raw_point"))
+    at = at.withColumns({"point": point, "lower": F.least(F.greatest(F.lit(0.0), F.col("raw_lower")), point), "upper": F.greatest(F.col("raw_upper"), point)})
+    full = suite(at, by, alpha)
+    names = ("coverage", "interval_below_truth_rate", "interval_above_truth_rate", "target_exceeds_upper_rate", "mean_extra_reserved_tokens", "task_simultaneous_coverage", "interval_score", "median_interval_width", "normalized_interval_width")
+    full = full.select(*by, *(F.col(c).alias(f"raw_{c}") for c in names))
+    crossing = at.groupBy(*by).agg(weighted_mean(F.col("crossing")).alias("quantile_crossing_rate"))
+    out = n.join(full, list(by), "left").join(crossing, list(by), "left") if by else n.crossJoin(full).crossJoin(crossing)
+    return out.where("_k >= 0").drop("_n", "_k")
+
+
+def latency(predictions: DataFrame, milliseconds: str, by: Sequence[str] = (), overhead: Sequence[str] = ()) -> DataFrame:
+    """The true median and the step 95th percentile of prediction times, and the tokens that predicting itself took."""
+    own = predictions.where(F.col(milliseconds).isNotNull())
+    p95 = step_quantile(own, F.col(milliseconds), {"latency_p95_ms": 0.95}, by, F.lit(1.0))
+    tokens = sum((F.coalesce(F.col(c), F.lit(0)) for c in overhead), F.lit(0)) if overhead else F.lit(0)
+    sums = own.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(milliseconds, 0.5).alias("latency_p50_ms"), F.sum(tokens).cast("long").alias("prediction_overhead_tokens"))
+    return sums.join(p95, list(by)) if by else sums.crossJoin(p95)
+
+
+def termination_strata(steps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Runs by how their updates end: steps (task_id, trajectory_id, label_status, label_reason), one row an update of a
+    run; a run without updates has one row whose status is null.
+
+    A run with a censored update is in the stratum of its censoring reasons, else one with an observed update is
+    ``observed_termination``, else its reasons for missing labels name the stratum. Nothing censored is scored.
+    """
+    reasons = lambda status: F.array_join(F.array_sort(F.collect_set(F.when(F.col("label_status") == status, F.coalesce(F.nullif("label_reason", F.lit("")), F.lit("unspecified"))))), "+")
+    runs = steps.groupBy(*by, "task_id", "trajectory_id").agg(reasons("censored").alias("_c"), reasons("missing").alias("_m"), F.count_if(F.col("label_status") == "observed").alias("_o"), F.count("label_status").alias("_n"))
+    stratum = F.when(F.col("_c") != "", F.concat(F.lit("censored:"), "_c")).when(F.col("_o") > 0, "observed_termination").otherwise(F.concat(F.lit("unscored_missing:"), F.coalesce(F.nullif("_m", F.lit("")), F.lit("unspecified"))))
+    return runs.groupBy(*by, stratum.alias("stratum")).agg(F.count("*").alias("n_sequences"), F.count_distinct("task_id").alias("n_tasks"), F.sum("_n").alias("n_update_boundaries"), F.sum("_o").alias("n_scored"), F.sum(F.col("_n") - F.col("_o")).alias("n_context_only"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from runledger.operators.audit import fingerprint
+
 #: Target -> the label it reads, by position of its points.
 TARGETS = {
     "call_pre": {"call_billable_total": "call_billable_total", "call_billable_output": "call_billable_output", "call_unknown_billable": "call_unknown_billable", "final_response_output": "final_response_output"},
@@ -14,7 +16,7 @@ TARGETS = {
 }
 
 
-def points(snapshots: DataFrame, context_id=None) -> DataFrame:
+def points(snapshots: DataFrame) -> DataFrame:
     """Label-free points: every request fans out to (position, target); the first request of a run is task_pre, later ones task_update."""
     first = F.row_number().over(W.partitionBy("trajectory_id").orderBy("cutoff_event_seq")) == 1
     pairs = lambda position: F.array(*(F.struct(F.lit(position).alias("position"), F.lit(t).alias("target")) for t in TARGETS[position]))
@@ -36,6 +38,51 @@ def rows(events: DataFrame, runs: DataFrame, snapshots: DataFrame, labels: DataF
     return joined.withColumn("label_status", status)
 
 
+def cell_rows(runs: DataFrame, snapshots: DataFrame, labels: DataFrame, position: str, target: str) -> DataFrame:
+    """``rows`` for one position and target only: picked before the join, which is on the run and the boundary."""
+    first = F.row_number().over(W.partitionBy("trajectory_id").orderBy("cutoff_event_seq")) == 1
+    here = {"call_pre": F.lit(True), "task_pre": F.col("_first"), "task_update": ~F.col("_first")}[position]
+    label = F.col(TARGETS[position][target])
+    own = labels.select("trajectory_id", F.col("event_seq").alias("cutoff_event_seq"), label["value"].alias("label_value"), label["status"].alias("label_status"), label["reason"].alias("label_reason"))
+    at = snapshots.withColumn("_first", first).where(here).drop("_first").join(own, ["trajectory_id", "cutoff_event_seq"], "left").join(runs.select("trajectory_id", "task_id", "condition_id"), "trajectory_id")
+    status = F.coalesce("label_status", F.raise_error(F.concat(F.lit("a point has no label: "), "source_event_id")).cast("string"))
+    return at.withColumns({"label_status": status, "position": F.lit(position), "target": F.lit(target), "point_id": F.concat_ws(":", "source_event_id", F.lit(position), F.lit(target))})
+
+
+def context_id(explicit: Column, state: Column, request_hash: Column, run_context: Column, call_id: Column) -> Column:
+    """What a point's forecast may share with others: what its event says, else the run's context and the call."""
+    said = [F.nullif(F.trim(c.cast("string")), F.lit("")) for c in (explicit, state, request_hash)]
+    return F.coalesce(*said, F.concat_ws(":", run_context, F.lit("call"), call_id))
+
+
+def condition_id(explicit: Column, **config: Column) -> Column:
+    """The condition a run says, else a hash of those configuration values that aren't null (canonical JSON, keys in
+    order), else a constant."""
+    has = F.coalesce(*(c.cast("string") for c in config.values()))
+    text = F.to_json(F.struct(*(config[k].alias(k) for k in sorted(config))), {"ignoreNullFields": "true"})
+    return F.coalesce(F.nullif(F.trim(explicit), F.lit("")), F.when(has.isNotNull(), F.concat(F.lit("condition:"), F.substring(F.sha2(text, 256), 1, 16))), F.lit("condition:unspecified"))
+
+
+def declared(value: Column, observables: Column, needs: str = "request_local_count") -> Column:
+    """A feature that counts only where its source declares the observable it needs; null elsewhere."""
+    return F.when(F.array_contains(observables, needs), value)
+
+
+def eligibility(cell: DataFrame) -> DataFrame:
+    """One row: how many points a cell has and an order-free hash of their ids, equal for equal cells."""
+    return fingerprint(cell, ["point_id"])
+
+
+def balance_groups(cell: DataFrame, least: int = 5) -> DataFrame:
+    """(condition_id, position, target, tasks): the groups whose tasks are to be spread over folds, with ``least`` tasks or more."""
+    return cell.groupBy("condition_id", "position", "target").agg(F.count_distinct("task_id").alias("tasks")).where(F.col("tasks") >= least)
+
+
+def universe(rows: DataFrame) -> DataFrame:
+    """The tasks of each condition."""
+    return rows.select("condition_id", "task_id").distinct()
+
+
 def eligible(rows: DataFrame, position: str | None = None, target: str | None = None, condition: str | None = None, features: tuple[str, ...] = ()) -> DataFrame:
     """The observed rows of a cell; required features must not be null."""
     out = rows.where("label_status = 'observed'")

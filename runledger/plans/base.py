@@ -80,8 +80,8 @@ _FOLDED = """,
 fold AS (SELECT task_id, (row_number() OVER (ORDER BY sha256('{salt}' || chr(0) || task_id), task_id) - 1) % {k} AS fold FROM (SELECT DISTINCT task_id FROM orders_t)),
 seen AS (SELECT c.*, f.fold, t.k AS test_fold, ((f.fold - t.k) % {k} + {k}) % {k} AS ahead FROM cell c JOIN fold f USING (task_id), (SELECT unnest(range({k})) AS k) t),
 cum AS (SELECT condition_id, test_fold, remaining, sum(w) OVER (PARTITION BY condition_id, test_fold ORDER BY remaining) AS c, sum(w) OVER (PARTITION BY condition_id, test_fold) AS t
-  FROM (SELECT condition_id, test_fold, remaining, sum(weight) AS w FROM seen WHERE ahead NOT IN (0, 1) GROUP BY ALL)),
-par AS (SELECT condition_id, test_fold, min(remaining) FILTER (c >= 0.05 * t) AS lo, min(remaining) FILTER (c >= 0.5 * t) AS mid, coalesce(min(remaining) FILTER (c >= 0.95 * t), max(remaining)) AS hi FROM cum GROUP BY ALL),
+  FROM (SELECT condition_id, test_fold, remaining, sum(weight) AS w FROM seen WHERE ahead NOT IN (0, 1, 2) GROUP BY ALL)),
+par AS (SELECT condition_id, test_fold, min(remaining) FILTER (c >= (0.05 - 1e-12) * t) AS lo, min(remaining) FILTER (c >= (0.5 - 1e-12) * t) AS mid, coalesce(min(remaining) FILTER (c >= (0.95 - 1e-12) * t), max(remaining)) AS hi FROM cum GROUP BY ALL),
 conf AS (SELECT condition_id, test_fold, score, row_number() OVER (PARTITION BY condition_id, test_fold ORDER BY score, task_id) AS r, count(*) OVER (PARTITION BY condition_id, test_fold) AS n
   FROM (SELECT condition_id, test_fold, task_id, max(greatest(lo - remaining, remaining - hi, 0)) AS score FROM seen JOIN par USING (condition_id, test_fold) WHERE ahead = 1 GROUP BY ALL)),
 expa AS (SELECT condition_id, test_fold, score AS expansion FROM conf WHERE r = least(n, greatest(1, ceil((n + 1) * 0.9)))),
@@ -98,8 +98,9 @@ def all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted observed rows of task_update on the remaining tokens, all conditions."""
-    observed = points.eligible(all_rows(spark, sf_dir), "task_update", "task_provider_accounted_remaining")
-    return points.weighted(kept(observed, "cell"))
+    events = kept(mapping.events(spark, sf_dir), "events")
+    rows = points.cell_rows(mapping.runs(spark, sf_dir), features.snapshots(events, kept), labels.suffix_labels(events), "task_update", "task_provider_accounted_remaining")
+    return points.weighted(kept(points.eligible(rows), "cell"))
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:

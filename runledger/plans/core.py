@@ -154,15 +154,32 @@ def nested_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.nested_protocol(base.tasks(spark, sf_dir), SALT, (1, 2, 3))
 
 
-@query("SELECT event_type AS violation, count(*) AS n FROM events WHERE false GROUP BY ALL")
+@query("WITH" + ATTEMPTS + """, n AS (SELECT trajectory_id::BIGINT % 7 AS m, st, count(*) AS calls, sum(attempts)::BIGINT AS attempts, sum(terminals)::BIGINT AS terminals FROM calls GROUP BY trajectory_id, st), o AS (SELECT o_orderkey % 7 AS m, count(*) AS runs FROM orders GROUP BY ALL),
+  v AS (SELECT 'no_start' AS violation, runs AS n FROM o WHERE m = 1 UNION ALL SELECT unnest(['end_not_last', 'several_ends']), runs FROM o WHERE m = 2 UNION ALL SELECT 'event_id_repeated', 2 * runs FROM o WHERE m = 3
+    UNION ALL SELECT unnest(['before_request', 'call_not_contiguous']), attempts + 2 * terminals FROM n WHERE m = 4 UNION ALL SELECT unnest(['attempt_started_twice', 'sequence_not_increasing']), attempts FROM n WHERE m = 5
+    UNION ALL SELECT 'new_call_while_attempt_open', calls - 1 FROM n WHERE m = 5 UNION ALL SELECT 'finished_while_attempt_open', 1 FROM n WHERE m = 5 AND st = 'F' UNION ALL SELECT 'outside_attempt', terminals FROM n WHERE m = 6)
+  SELECT violation, sum(n)::BIGINT AS n FROM v GROUP BY ALL HAVING sum(n) > 0""")
 def lifecycle_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mapped runs break no rule of the lifecycle."""
-    return validate.violations(mapping.events(spark, sf_dir)).groupBy("violation").agg(F.count("*").alias("n"))
-
-
-@query("SELECT count(*) AS n, count(DISTINCT user_id) AS trajectories FROM events")
+    """Runs with faults planted by the remainder of their number: no start, a second end, an end with the start's id, no
+    requests, attempts started twice, attempts never started. Those with remainder 0 break no rule."""
+    events = mapping.events(spark, sf_dir)
+    m, kind = F.pmod(F.col("trajectory_id").cast("long"), F.lit(7)), F.col("event_type")
+    end, start = kind.isin("task_finished", "task_aborted"), kind == "api_attempt_started"
+    left = events.where(~((m == 1) & (kind == "task_started")) & ~((m == 4) & (kind == "request_built")) & ~((m == 6) & start))
+    left = left.withColumn("event_id", F.when((m == 3) & end, F.concat("trajectory_id", F.lit("-0"))).otherwise(F.col("event_id")))
+    ends = events.where((m == 2) & end).withColumn("event_seq", F.lit(1_000_000).cast("long")).withColumn("event_id", F.concat("event_id", F.lit("-again")))
+    twice = events.where((m == 5) & start).withColumn("event_id", F.concat("event_id", F.lit("-again")))
+    return validate.violations(left.unionByName(ends).unionByName(twice)).groupBy("violation").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_id % 8 AS m FROM events) SELECT problem, count(*) AS n, count(DISTINCT user_id) AS trajectories FROM (
+  SELECT user_id, unnest(CASE m WHEN 0 THEN [] WHEN 1 THEN ['schema_version'] WHEN 2 THEN ['event_type'] WHEN 3 THEN ['event_seq'] WHEN 4 THEN ['occurred_at'] WHEN 5 THEN ['logical_call_id'] WHEN 6 THEN ['attempt_id'] ELSE ['event_id'] END) AS problem FROM e) GROUP BY ALL""")
 def rejected_raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw click events aren't canonical: all go to quarantine for their unknown type."""
-    raw = mapping.table(spark, sf_dir, "events").select(F.lit(1).cast("long").alias("schema_version"), F.col("event_id").cast("string").alias("event_id"), F.col("user_id").cast("string").alias("trajectory_id"), F.col("event_id").alias("event_seq"), "event_type", F.col("ts").cast("timestamp").alias("occurred_at"), F.lit(None).cast("string").alias("logical_call_id"), F.lit(None).cast("string").alias("attempt_id"))
-    bad = validate.row_problems(raw).where(F.size("problems") > 0)
-    return bad.agg(F.count("*").alias("n"), F.count_distinct("trajectory_id").alias("trajectories"))
+    """The click events written as canonical ones, with one fault each by the remainder of their number; those with remainder 0 pass."""
+    raw, m, long = mapping.table(spark, sf_dir, "events"), F.col("event_id") % 8, lambda n: F.lit(n).cast("long")
+    rows = raw.select(
+        F.when(m == 1, long(0)).otherwise(long(1)).alias("schema_version"), F.when(m == 7, " ").otherwise(F.col("event_id").cast("string")).alias("event_id"), F.col("user_id").cast("string").alias("trajectory_id"), F.when(m == 3, long(-1)).otherwise(F.col("event_id")).alias("event_seq"),
+        F.when(m == 2, F.col("event_type")).when(m == 6, "api_completed").otherwise("tool_completed").alias("event_type"), F.when(m != 4, F.col("ts").cast("timestamp")).alias("occurred_at"), F.when(m != 5, "call").alias("logical_call_id"), F.lit(None).cast("string").alias("attempt_id"),
+    )
+    bad = validate.row_problems(rows).select("trajectory_id", F.explode("problems").alias("problem"))
+    return bad.groupBy("problem").agg(F.count("*").alias("n"), F.count_distinct("trajectory_id").alias("trajectories"))

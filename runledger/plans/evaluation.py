@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from runledger.operators import compare, forecast, metrics, points, splits
 from runledger.plans import base
-from runledger.plans.base import CELL, SCORED, rounded
+from runledger.plans.base import CELL, HISTORY, SCORED, rounded
 from runledger.sources import mapping
+from runledger.sources.tables import kept
 
 QUERIES, ORACLES = {}, {}
 
@@ -24,11 +25,19 @@ def query(sql: str | None = None):
     return add
 
 
-_STEP = "(SELECT condition_id, min(v) FILTER (c >= {q} * t) AS x FROM (SELECT condition_id, v, sum(w) OVER (PARTITION BY condition_id ORDER BY v) AS c, sum(w) OVER (PARTITION BY condition_id) AS t FROM (SELECT condition_id, {v} AS v, sum(weight) AS w FROM scored GROUP BY ALL)) GROUP BY ALL)"
+_STEP = "(SELECT condition_id, min(v) FILTER (c >= ({q} - 1e-12) * t) AS x FROM (SELECT condition_id, v, sum(w) OVER (PARTITION BY condition_id ORDER BY v) AS c, sum(w) OVER (PARTITION BY condition_id) AS t FROM (SELECT condition_id, {v} AS v, sum(weight) AS w FROM scored GROUP BY ALL)) GROUP BY ALL)"
+
+
+_LAUNCH_SQL = f""",
+  lch AS (SELECT * FROM labels0 WHERE ordinal = 1 AND rest_status = 'observed'), lw AS (SELECT l.*, 1.0 / r.runs AS weight FROM lch l JOIN (SELECT condition_id, task_id, count(DISTINCT trajectory_id) AS runs FROM lch GROUP BY ALL) r USING (condition_id, task_id)),
+  fold AS (SELECT task_id, (row_number() OVER (ORDER BY sha256('{base.SALT}' || chr(0) || task_id), task_id) - 1) % {base.FOLDS} AS fold FROM (SELECT DISTINCT o_custkey::VARCHAR AS task_id FROM orders)),
+  seen AS (SELECT w.*, t.k AS test_fold, ((f.fold - t.k) % {base.FOLDS} + {base.FOLDS}) % {base.FOLDS} AS ahead FROM lw w JOIN fold f USING (task_id), (SELECT unnest(range({base.FOLDS})) AS k) t),
+  par AS (SELECT condition_id, test_fold, min(remaining) FILTER (c >= (0.5 - 1e-12) * t) AS mid FROM (SELECT condition_id, test_fold, remaining, sum(w) OVER (PARTITION BY condition_id, test_fold ORDER BY remaining) AS c, sum(w) OVER (PARTITION BY condition_id, test_fold) AS t
+    FROM (SELECT condition_id, test_fold, remaining, sum(weight) AS w FROM seen WHERE ahead NOT IN (0, 1, 2) GROUP BY ALL)) GROUP BY ALL)"""
 
 
 @query("WITH" + CELL + """, cum AS (SELECT condition_id, remaining, sum(w) OVER (PARTITION BY condition_id ORDER BY remaining) AS c, sum(w) OVER (PARTITION BY condition_id) AS t FROM (SELECT condition_id, remaining, sum(weight) AS w FROM cell GROUP BY ALL))
-  SELECT condition_id, min(remaining) FILTER (c >= 0.05 * t)::DOUBLE AS lower, min(remaining) FILTER (c >= 0.5 * t)::DOUBLE AS point, min(remaining) FILTER (c >= 0.95 * t)::DOUBLE AS upper FROM cum GROUP BY ALL""")
+  SELECT condition_id, min(remaining) FILTER (c >= (0.05 - 1e-12) * t)::DOUBLE AS lower, min(remaining) FILTER (c >= (0.5 - 1e-12) * t)::DOUBLE AS point, min(remaining) FILTER (c >= (0.95 - 1e-12) * t)::DOUBLE AS upper FROM cum GROUP BY ALL""")
 def empirical_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.fit_empirical(base.cell(spark, sf_dir), ["condition_id"])
 
@@ -41,18 +50,25 @@ def length_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.select("condition_id", F.round("slope", 3).alias("slope"), F.round("intercept", 1).alias("intercept"))
 
 
-@query()
+_PLAIN = "(SELECT condition_id, min(v) FILTER (c >= (0.05 - 1e-12) * t) AS low, min(v) FILTER (c >= (0.95 - 1e-12) * t) AS high FROM (SELECT condition_id, v, sum(w) OVER (PARTITION BY condition_id ORDER BY v) AS c, sum(w) OVER (PARTITION BY condition_id) AS t FROM (SELECT condition_id, round(v, 6) AS v, sum(weight) AS w FROM e GROUP BY ALL)) GROUP BY ALL)"
+
+
+@query("WITH" + CELL + """, o AS (SELECT * FROM cell WHERE local IS NOT NULL), m AS (SELECT condition_id, sum(weight * local) / sum(weight) AS mx, sum(weight * remaining) / sum(weight) AS my FROM o GROUP BY ALL),
+  l AS (SELECT condition_id, sum(weight * (local - mx) * (remaining - my)) / sum(weight * (local - mx) * (local - mx)) AS slope, any_value(my) AS my, any_value(mx) AS mx FROM o JOIN m USING (condition_id) GROUP BY ALL),
+  e AS (SELECT o.*, my + slope * (local - mx) AS said, remaining - (my + slope * (local - mx)) AS v FROM o JOIN l USING (condition_id))
+  SELECT trajectory_id, 'call-' || call_no AS logical_call_id, round(greatest(0, least(said + low, greatest(0, said))), 1) AS lower, round(greatest(0, said), 1) AS point, round(greatest(said + high, greatest(0, said)), 1) AS upper FROM e JOIN """ + _PLAIN + """ q USING (condition_id)""")
 def length_line_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = points.eligible(base.cell(spark, sf_dir), features=("current_request_tokens_local",))
     params = forecast.fit_line(cell, "current_request_tokens_local", ["condition_id"])
-    return rounded(forecast.predict_line(cell, params, "current_request_tokens_local", ["condition_id"]).select("point_id", "lower", "point", "upper"), 3)
+    return rounded(forecast.predict_line(cell, params, "current_request_tokens_local", ["condition_id"]).select("trajectory_id", "logical_call_id", "lower", "point", "upper"), 1)
 
 
-@query()
+@query("WITH" + CELL + """, e AS (SELECT *, ordinal * 20000.0::DOUBLE AS said, (remaining - ordinal * 20000.0)::DOUBLE AS v FROM cell)
+  SELECT trajectory_id, 'call-' || call_no AS logical_call_id, round(least(greatest(0, said + low), said), 3) AS lower, said AS point, round(greatest(said + high, said), 3) AS upper FROM e JOIN """ + _PLAIN + """ q USING (condition_id)""")
 def external_estimate_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An estimate from outside (calls so far times 20,000 tokens) with residual quantiles."""
     cell = base.cell(spark, sf_dir).withColumn("estimate", F.col("request_count") * 20_000.0)
-    return rounded(forecast.predict_bands(cell, forecast.fit_residual_bands(cell, "estimate", ["condition_id"]), "estimate", ["condition_id"]).select("point_id", "lower", "point", "upper"), 3)
+    return rounded(forecast.predict_bands(cell, forecast.fit_residual_bands(cell, "estimate", ["condition_id"]), "estimate", ["condition_id"]).select("trajectory_id", "logical_call_id", "lower", "point", "upper"), 3)
 
 
 @query("WITH" + SCORED + " SELECT trajectory_id, 'call-' || call_no AS logical_call_id, round(lower, 3) AS lower, round(point, 3) AS point, round(upper, 3) AS upper, round(raw_lower, 3) AS raw_lower, round(raw_upper, 3) AS raw_upper FROM scored")
@@ -146,12 +162,20 @@ def across_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.across_seeds(by, ["mae", "coverage"], ["condition_id"]), 4)
 
 
-@query()
+@query("WITH RECURSIVE" + HISTORY + _LAUNCH_SQL + """, s AS (SELECT trajectory_id, ordinal, call_no, coalesce(cumulative_in, 0) + coalesce(cumulative_out, 0) AS spent, coalesce(missing_usage_attempts, 0) AS miss FROM hist),
+  d AS (SELECT trajectory_id, ordinal, call_no, CASE WHEN miss > lag(miss) OVER w THEN 0 ELSE coalesce(spent - lag(spent) OVER w, 0) END::BIGINT AS delta FROM s WINDOW w AS (PARTITION BY trajectory_id ORDER BY ordinal)),
+  chain AS (SELECT d.trajectory_id, d.ordinal, d.call_no, p.mid AS carried FROM d JOIN (SELECT DISTINCT trajectory_id, task_id, condition_id FROM ledger) r USING (trajectory_id) JOIN fold f USING (task_id) JOIN par p ON p.condition_id = r.condition_id AND p.test_fold = f.fold WHERE d.ordinal = 1
+    UNION ALL SELECT d.trajectory_id, d.ordinal, d.call_no, greatest(0, c.carried - d.delta)::BIGINT FROM chain c JOIN d ON d.trajectory_id = c.trajectory_id AND d.ordinal = c.ordinal + 1)
+  SELECT trajectory_id, 'call-' || call_no AS logical_call_id, carried::DOUBLE AS carried FROM chain""")
 def carried_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The launch forecast of each run (median of its condition) carried through its updates less what was spent."""
-    rows = base.all_rows(spark, sf_dir).where("target = 'task_provider_accounted_remaining'")
-    start = forecast.fit_empirical(points.weighted(points.eligible(rows, "task_pre")), ["condition_id"]).select("condition_id", F.col("point").alias("start"))
-    return points.carried_forecast(points.visible_spend(rows.join(F.broadcast(start), "condition_id")), "start").select("point_id", F.col("carried").cast("double").alias("carried"))
+    """The launch forecast of each run carried through its updates less what was spent. A run's start is the median of
+    its condition's launches among the training tasks of the fold that its own task is tested in."""
+    rows = kept(base.all_rows(spark, sf_dir).where("target = 'task_provider_accounted_remaining'"), "rows")
+    folds = splits.ranked_folds(base.tasks(spark, sf_dir), base.SALT, base.FOLDS).select("task_id", "fold")
+    launches = points.weighted(points.eligible(rows, "task_pre")).join(folds, "task_id")
+    start = forecast.fit_empirical(splits.roles(launches, base.FOLDS).where("role = 'train'"), ["condition_id", "test_fold"]).select("condition_id", F.col("test_fold").alias("fold"), F.col("point").alias("start"))
+    at = rows.join(folds, "task_id").join(start, ["condition_id", "fold"])
+    return points.carried_forecast(points.visible_spend(at), "start").select("trajectory_id", "logical_call_id", F.col("carried").cast("double").alias("carried"))
 
 
 @query("WITH" + SCORED + """, c AS (SELECT condition_id, 'empirical' AS candidate_id, sum(weight * abs(point - truth)) / sum(weight) AS mae FROM scored GROUP BY ALL UNION ALL SELECT condition_id, 'flat', sum(weight * abs(100000 - truth)) / sum(weight) FROM scored GROUP BY ALL)

@@ -111,9 +111,12 @@ def open_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.where("event_type = 'api_attempt_started'").select(*keys).join(events.where("event_type IN ('api_completed', 'api_failed')").select(*keys), keys, "left_anti")
 
 
-@query("SELECT 's_acctbal' AS \"column\", median(s_acctbal) AS median, round(avg(s_acctbal), 6) AS mean, round(stddev_pop(s_acctbal), 6) AS deviation, NULL::VARCHAR AS words FROM supplier")
+@query("""WITH s AS (SELECT CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END AS b, s_nationkey FROM supplier), m AS (SELECT median(b) AS m FROM s)
+  SELECT 'balance' AS "column", round(any_value(m), 6) AS median, round(avg(coalesce(b, m)), 6) AS mean, round(stddev_pop(coalesce(b, m)), 6) AS deviation, NULL::VARCHAR AS words FROM s, m UNION ALL SELECT 'nation', NULL, NULL, NULL, (SELECT string_agg(w, '|' ORDER BY w) FROM (SELECT DISTINCT s_nationkey::VARCHAR AS w FROM s))""")
 def encoder_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = audit.encoder_statistics(table(spark, sf_dir, "supplier"), ["s_acctbal"], [])
+    """Balances, every fourth of them null, and nations as words."""
+    own = table(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") % 4 != 0, F.col("s_acctbal")).alias("balance"), F.col("s_nationkey").cast("string").alias("nation"))
+    out = audit.encoder_statistics(own, ["balance"], ["nation"])
     return rounded(out.select("column", "median", "mean", "deviation", F.array_join("vocabulary", "|").alias("words")))
 
 
@@ -138,9 +141,16 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.variant_get(text.strict_json(F.col("props")), "$.k", "long").alias("k"))
 
 
-@query()
+@query(r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{"api_key":"[REDACTED]","n":' || doc_id || '}' WHEN 1 THEN '{"a":{"Client-Secret":"[REDACTED]"},"b":"Bearer [REDACTED]"}' WHEN 2 THEN '{"token":"[REDACTED]","tokens":' || doc_id || '}' ELSE regexp_replace(replace(text, 'bearer', 'b_'), 'sk-', 'Bearer [REDACTED]', 'g') END AS text FROM documents WHERE text IS NOT NULL""")
 def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.redacted_json(F.col("text")).alias("text"))
+    """Texts, and JSON texts with secrets as strings, nested numbers, objects and lists, and bearer credentials."""
+    k, i = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    plain = F.regexp_replace(F.replace("text", F.lit("bearer"), F.lit("b_")), "sk-", "Bearer xyz=")
+    made = (
+        F.when(k == 0, F.concat(F.lit('{"api_key":"s\\"'), i, F.lit('","n":'), i, F.lit("}"))).when(k == 1, F.concat(F.lit('{"a":{"Client-Secret":'), i, F.lit('},"b":"bearer a.b-c~'), i, F.lit('="}')))
+        .when(k == 2, F.concat(F.lit('{"token":{"x":["]",{"y":'), i, F.lit('}]},"tokens":'), i, F.lit("}"))).otherwise(plain)
+    )
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.redacted_json(made).alias("text"))
 
 
 @query("SELECT doc_id, sha256('salt' || chr(0) || doc_id::VARCHAR) AS pseudonym FROM documents")

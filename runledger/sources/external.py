@@ -45,8 +45,10 @@ def aggregates(spark: SparkSession, path: str, model: str, metadata: DataFrame)
 
 
 def manifest_problems(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
-    """Files that differ from the manifest (path, bytes, sha256) either way: (path, problem); empty if all match."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("found_bytes"), F.sha2("content", 256).alias("found_sha"))
+    """Files that differ from the manifest (path, bytes, sha256) either way: (path below root, problem); empty if all match."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.expr(f"substring(path, {len(top) + 2})").alias("path"), F.col("length").alias("found_bytes"), F.sha2("content", 256).alias("found_sha"))
     both = manifest.select("path", "bytes", "sha256").join(files, "path", "full_outer")
     problem = F.when(F.col("found_sha").isNull(), "missing").when(F.col("sha256").isNull(), "not_listed").when(F.col("bytes") != F.col("found_bytes"), "size_differs").when(F.col("sha256") != F.col("found_sha"), "content_differs")
     return both.select("path", problem.alias("problem")).where("problem IS NOT NULL")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from runledger import schema
 from runledger.functions.text import redacted_json
+from runledger.functions.usage import parsed
 from runledger.operators.validate import row_problems
 
 FIELDS = ("schema_version", "event_id", "trajectory_id", "event_seq", "event_type", "occurred_at", "logical_call_id", "attempt_id", "raw_ref", "payload")
@@ -18,16 +19,24 @@ def scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(events, quarantine): lines that are strict JSON objects with exactly the known fields, a zoned time and valid
     values; every other non-blank line with its text, file and reasons.
 
-    Strict parsing (no repeated keys, no NaN) is ``try_parse_json``; fields are typed by the event schema.
+    Strict parsing (no repeated keys, no NaN) is ``try_parse_json``; fields are typed by the event schema. Usage is
+    read under all its names; a count that is no whole number from 0 on sends the line to quarantine.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
     names = F.json_object_keys("value")
     typed = F.from_json("value", schema.EVENT, {"mode": "PERMISSIVE"})
     read = lines.select("value", "file", F.try_parse_json("value").isNotNull().alias("strict"), names.alias("names"), F.get_json_object("value", "$.occurred_at").alias("said"), typed.alias("e"))
+    # usage may come under providers' names for its counts
+    raw = F.try_variant_get(F.try_parse_json("value"), "$.payload.usage", "variant")
+    use = parsed(raw)
+    named = F.when(raw.isNotNull() & F.col("e.payload.usage").isNotNull(), F.struct(*(use[f"{c}_tokens"].alias(f"{c}_tokens") for c in ("input", "output", "total"))))
+    read = read.withColumn("wrong", F.array_remove(F.array_except(F.coalesce(use["problems"], F.array().cast("array<string>")), F.array(F.lit("reasoning_exceeds_output"))), "total_differs"))
+    read = read.withColumn("e", F.when(F.col("e.payload").isNotNull(), F.col("e").withField("payload.usage", named)).otherwise(F.col("e")))
     known = F.array(*map(F.lit, FIELDS))
     shape = F.array_compact(F.array(
         F.when(~F.col("strict"), F.lit("not_strict_json")), F.when(F.size(F.array_except(F.coalesce("names", F.array().cast("array<string>")), known)) > 0, F.lit("unknown_field")),
         F.when(F.size(F.array_except(known, F.coalesce("names", F.array().cast("array<string>")))) > 0, F.lit("missing_field")), F.when(~F.coalesce(F.col("said").rlike(_ZONED), F.lit(False)), F.lit("time_without_zone")),
+        F.when(F.size("wrong") > 0, F.lit("usage")),
     ))
     checked = row_problems(read.select("value", "file", shape.alias("shape"), "e.*"))
     checked = checked.withColumn("problems", F.concat("shape", "problems"))

@@ -173,3 +173,19 @@ def transitions(snapshots: DataFrame) -> DataFrame:
         .when((m > n) & prefix & (m == n + 1) & (first == "user"), "unanswered").when((m > n) & prefix & (first == "assistant"), "extension").otherwise("broken")
     )
     return at.select("trajectory_id", "seq", kind.alias("transition"))
+
+
+def rank_agreement(df: DataFrame, by: str, orders: Sequence[str]) -> DataFrame:
+    """Of each group the rows and how many of them have the same rank in all orders (ties by the first order)."""
+    ranks = [F.row_number().over(W.partitionBy(by).orderBy(F.col(c).asc_nulls_last(), F.col(orders[0]))) for c in orders]
+    at = df.select(by, *(r.alias(f"_r{i}") for i, r in enumerate(ranks)))
+    same = F.lit(True)
+    for i in range(1, len(orders)):
+        same = same & (F.col(f"_r{i}") == F.col("_r0"))
+    return at.groupBy(by).agg(F.count("*").alias("n"), F.count_if(same).alias("agreeing"))
+
+
+def counters(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """How often each value of each column occurs: (name, value, n), in one pass over the rows."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in names))).alias("p")
+    return df.select(pairs).groupBy("p.name", "p.value").agg(F.count("*").alias("n"))

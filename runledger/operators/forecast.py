@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.operators.metrics import reached, step_quantile
@@ -85,3 +85,44 @@ def ensemble(members: DataFrame, n_members: int, keep: Sequence[str]) -> DataFra
     mean = members.groupBy("point_id", *keep).agg(F.count("*").alias("_n"), F.count_distinct("member").alias("_m"), *(F.avg(c).alias(c) for c in ("lower", "point", "upper")))
     bad = F.when((F.col("_n") != n_members) | (F.col("_m") != n_members), F.raise_error(F.concat(F.lit("members differ at "), F.col("point_id"))).cast("double"))
     return mean.withColumn("point", F.coalesce(bad, F.col("point"))).drop("_n", "_m")
+
+
+def invalid_forecasts(forecasts: DataFrame) -> DataFrame:
+    """Forecasts that break a rule, with ``problem``: not 0 <= lower <= point <= upper, something infinite or null, or
+    only a part of the triple before calibration."""
+    triple = [F.col(c).cast("double") for c in ("lower", "point", "upper")]
+    odd = F.lit(False)
+    for c in triple:
+        odd = odd | c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    raw = [F.col(c) for c in ("raw_lower", "raw_point", "raw_upper")]
+    some = sum((c.isNotNull().cast("int") for c in raw), F.lit(0))
+    disorder = (F.col("lower") < 0) | (F.col("lower") > F.col("point")) | (F.col("point") > F.col("upper"))
+    problem = F.when(odd, "not_finite").when(disorder, "out_of_order").when(some.isin(1, 2), "raw_in_part")
+    return forecasts.withColumn("problem", problem).where("problem IS NOT NULL")
+
+
+def fit_encoding(train: DataFrame, numbers: Sequence[str], words: Sequence[str]) -> DataFrame:
+    """One row: of each number its median, and mean and deviation after filling nulls by it; of each word column its
+    sorted vocabulary in the training rows. The row is as wide as the vocabularies, which belong to categories."""
+    medians = train.agg(*(F.percentile(c, 0.5).alias(f"{c}_median") for c in numbers), *(F.array_sort(F.collect_set(c)).alias(f"{c}_words") for c in words))
+    filled = train.select(*numbers).crossJoin(F.broadcast(medians))  # one row
+    stats = filled.agg(*(x for c in numbers for x in (F.avg(F.coalesce(F.col(c), F.col(f"{c}_median"))).alias(f"{c}_mean"), F.stddev_pop(F.coalesce(F.col(c), F.col(f"{c}_median"))).alias(f"{c}_deviation"))))
+    return medians.crossJoin(stats)
+
+
+def _is(c: str) -> Callable[[Column], Column]:
+    return lambda word: F.coalesce((word == F.col(c)).cast("double"), F.lit(0.0))
+
+
+def encoded(rows: DataFrame, encoding: DataFrame, numbers: Sequence[str], words: Sequence[str]) -> DataFrame:
+    """rows with ``encoded``: of each number its standard score (nulls filled by the median, no deviation gives 0) and
+    whether it was missing; of each word column one place a word and a last one for unknown or null."""
+    at = rows.crossJoin(F.broadcast(encoding))  # one row
+    parts = []
+    for c in numbers:
+        score = (F.coalesce(F.col(c), F.col(f"{c}_median")) - F.col(f"{c}_mean")) / F.col(f"{c}_deviation")
+        parts.append(F.array(F.when(F.col(f"{c}_deviation") > 0, score).otherwise(0.0), F.col(c).isNull().cast("double")))
+    for c in words:
+        known = F.coalesce(F.array_contains(f"{c}_words", F.col(c)), F.lit(False))
+        parts.append(F.concat(F.transform(f"{c}_words", _is(c)), F.array((~known).cast("double"))))
+    return at.select(*rows.columns, F.concat(*parts).alias("encoded"))

@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runledger.functions import text, usage
-from runledger.operators import audit, compare, features, labels, metrics, points, validate
+from runledger.operators import audit, compare, features, forecast, labels, metrics, points, validate
 from runledger.plans import base
 from runledger.plans.base import ATTEMPTS, CELL, HISTORY, LABELS, SCORED, rounded
-from runledger.sources import chat, mapping
+from runledger.sources import chat, external, mapping
 from runledger.sources.mapping import table
 from runledger.sources.tables import kept
 
@@ -242,3 +242,45 @@ def may_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cell of one condition passes the guard; tests/test_evaluation.py has one that doesn't."""
     return validate.one_condition(points.eligible(base.cell(spark, sf_dir), condition="1-URGENT")).groupBy("condition_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, ts) AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id, ts) AS b, row_number() OVER (PARTITION BY user_id ORDER BY value NULLS LAST, ts) AS c FROM events)
+  SELECT user_id, count(*) AS n, count(*) FILTER (a = b AND a = c) AS agreeing FROM r GROUP BY ALL""")
+def rank_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events ranked by time, by number and by value."""
+    return audit.rank_agreement(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id", "value"])
+
+
+@query("SELECT 'priority' AS name, o_orderpriority AS value, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'status', o_orderstatus, count(*) FROM orders GROUP BY ALL UNION ALL SELECT 'clerk', CASE WHEN o_custkey % 5 > 0 THEN (o_custkey % 5)::VARCHAR END, count(*) FROM orders GROUP BY ALL")
+def value_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of condition, model and provider columns: an order's priority, status and a clerk made of its customer."""
+    k = F.col("o_custkey") % 5
+    return audit.counters(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), F.when(k > 0, k).alias("clerk")), ["priority", "status", "clerk"])
+
+
+@query("SELECT problem, count(*) AS n FROM (SELECT CASE o_orderkey % 6 WHEN 1 THEN 'not_finite' WHEN 2 THEN 'out_of_order' WHEN 3 THEN 'out_of_order' WHEN 4 THEN 'raw_in_part' WHEN 5 THEN 'not_finite' END AS problem FROM orders) WHERE problem IS NOT NULL GROUP BY ALL")
+def invalid_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts made of orders, with one fault each by the remainder of their number."""
+    m, one = F.col("o_orderkey") % 6, F.lit(1.0)
+    rows = table(spark, sf_dir, "orders").select(
+        F.when(m == 2, -1.0).otherwise(0.5).alias("lower"), F.when(m == 1, float("inf")).when(m == 3, 0.25).otherwise(one).alias("point"), F.when(m != 5, 2.0).alias("upper"), F.when(m > 3, 1.0).alias("raw_lower"), F.when(m > 3, 1.0).alias("raw_point"), F.when(m > 4, 1.0).alias("raw_upper"),
+    )
+    return forecast.invalid_forecasts(rows).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END AS b, 'n' || s_nationkey % 3 AS w FROM supplier), t AS (SELECT * FROM s WHERE s_suppkey % 2 = 1 AND w <> 'n2'), m AS (SELECT median(b) AS m FROM t), d AS (SELECT any_value(m) AS m, avg(coalesce(b, m)) AS a, stddev_pop(coalesce(b, m)) AS d FROM t, m)
+  SELECT s_suppkey, round((coalesce(b, m) - a) / d, 6) AS balance, (b IS NULL)::INT::DOUBLE AS missing, (w = 'n0')::INT::DOUBLE AS n0, (w = 'n1')::INT::DOUBLE AS n1, (w = 'n2')::INT::DOUBLE AS unknown FROM s, d""")
+def encoded_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances and nations, fitted on a part that lacks one of three words."""
+    own = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_acctbal")).alias("b"), F.concat(F.lit("n"), F.col("s_nationkey") % 3).alias("w"))
+    fitted = forecast.fit_encoding(own.where("s_suppkey % 2 = 1 AND w <> 'n2'"), ["b"], ["w"])
+    out = forecast.encoded(own, fitted, ["b"], ["w"])
+    return rounded(out.select("s_suppkey", *(F.get("encoded", F.lit(i)).alias(n) for i, n in enumerate(("balance", "missing", "n0", "n1", "unknown")))))
+
+
+@query("SELECT o_orderkey, (o_orderkey % 9)::INT::BIGINT AS run, 'task-' || o_custkey AS task, CASE WHEN o_orderkey % 2 = 0 THEN 'completion' ELSE 'report.final' END AS kind FROM orders WHERE o_orderkey % 5 > 0 UNION ALL SELECT o_orderkey, NULL, NULL, NULL FROM orders WHERE o_orderkey % 5 = 0")
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths made of orders; every fifth is no path of a run."""
+    k = F.col("o_orderkey")
+    path = F.concat(F.when(k % 5 > 0, "s3://b/x/run_").otherwise("s3://b/x/log_"), k % 9, F.lit("/task-"), F.col("o_custkey"), F.lit("/"), F.when(k % 2 == 0, "completion").otherwise("report.final"), F.lit(".json"))
+    return rounded(table(spark, sf_dir, "orders").select("o_orderkey", *(c.alias(n) for n, c in external.path_parts(path).items())))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.operators.audit import fingerprint
@@ -69,3 +69,37 @@ def verified(spark: SparkSession, path: str) -> DataFrame:
     if now.select(*sorted(now.columns)).exceptAll(said.select(*sorted(now.columns))).count():
         raise ValueError(f"{path} has changed since it was published")
     return df
+
+
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """A manifest of JSON lines {path, bytes, sha256} as a table; a line that breaks a rule, or a path that is listed
+    twice, fails the query."""
+    rows = spark.read.text(path).where(F.trim("value") != "").select("value", F.from_json("value", "path STRING, bytes BIGINT, sha256 STRING").alias("r")).select("value", "r.*")
+    good = F.coalesce((F.trim("path") != "") & ~F.col("path").rlike(r"^/|(?:^|/)\.\.(?:/|$)") & (F.col("bytes") >= 0) & F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False))
+    twice = rows.groupBy("path").agg(F.count("*").alias("_n"))
+    at = rows.withColumn("_good", good).join(twice, "path", "left")
+    checked = F.when(~F.col("_good"), F.raise_error(F.concat(F.lit("bad line in the manifest: "), "value")).cast("string")).when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("listed twice: "), "path")).cast("string")).otherwise(F.col("path"))
+    return at.select(checked.alias("path"), "bytes", "sha256")
+
+
+def task_list(spark: SparkSession, path: str) -> DataFrame:
+    """(place, instance_id, repo, difficulty) of a JSON file {count, tasks: [...]}; another number of tasks than it says,
+    or ids that don't grow, fail the query."""
+    schema = "count BIGINT, tasks ARRAY<STRUCT<instance_id: STRING, repo: STRING, difficulty: STRING>>"
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("f"))
+    right = F.coalesce(F.col("f.count") == F.size("f.tasks"), F.lit(False))
+    ids = F.transform("f.tasks", lambda t: t["instance_id"])
+    sorted_ = ids == F.array_sort(F.array_distinct(ids))
+    tasks = F.when(~right, F.raise_error(F.lit("the declared count differs")).cast("array<struct<instance_id:string,repo:string,difficulty:string>>")).when(~sorted_, F.raise_error(F.lit("ids repeat or aren't sorted")).cast("array<struct<instance_id:string,repo:string,difficulty:string>>")).otherwise(F.col("f.tasks"))
+    return whole.select(F.posexplode(tasks).alias("place", "t")).select("place", "t.*")
+
+
+def path_parts(path: Column, pattern: str = r"(?:^|/)run_(\d+)/([^/]+)/([^/]+?)(?:\.[^./]+)?$") -> dict[str, Column]:
+    """Run, task and kind of a file by its path; null where the path is no such one."""
+    part = lambda i: F.nullif(F.regexp_extract(path, pattern, i), F.lit(""))
+    return {"run": part(1).cast("int"), "task": part(2), "kind": part(3)}
+
+
+def write_predictions(forecasts: DataFrame, path: str, by: tuple[str, ...] = ("candidate_id", "split_seed")) -> None:
+    """Prediction records, a folder for each candidate and seed; an existing path is an error."""
+    forecasts.write.mode("errorifexists").partitionBy(*by).json(path)

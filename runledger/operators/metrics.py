@@ -23,7 +23,7 @@ def interval_score(alpha: float) -> Column:
 
 
 #: A group's distinct values are cut into so many ranges; only the ranges that hold a wanted value are sorted.
-RANGES = 64
+RANGES = 32
 #: Share of a group's weight that sums of doubles in another order may be off by: a running weight that misses by less has reached.
 ROUNDING = 1e-12
 

@@ -149,9 +149,13 @@ def balanced_task_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.balanced_folds(members, SALT, 5).withColumn("fold", F.col("fold").cast("long"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT DISTINCT o_custkey::VARCHAR AS task_id FROM orders), h AS (SELECT task_id, sha256('{SALT}' || chr(0) || task_id) AS h FROM t),
+  dev AS (SELECT task_id FROM h WHERE list_reduce([0::HUGEINT] || [('0x' || substr(h, i * 4 + 1, 4))::HUGEINT FOR i IN range(16)], lambda a, x: (a * 65536 + x) % 10000) >= 2000),
+  o AS (SELECT seed, task_id, (row_number() OVER (PARTITION BY seed ORDER BY sha256('{SALT}:' || seed || ':outer' || chr(0) || task_id), task_id) - 1) % 5 AS outer_fold FROM dev, (SELECT unnest([1, 2, 3]) AS seed)),
+  x AS (SELECT *, ((outer_fold - test_fold) % 5 + 5) % 5 AS ahead FROM o, (SELECT unnest(range(5)) AS test_fold))
+  SELECT seed::BIGINT AS seed, task_id, test_fold, outer_fold, (row_number() OVER (PARTITION BY seed, test_fold ORDER BY sha256('{SALT}:' || seed || ':inner' || chr(0) || task_id), task_id) - 1) % 5 AS inner_fold FROM x WHERE ahead > 2""")
 def nested_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.nested_protocol(base.tasks(spark, sf_dir), SALT, (1, 2, 3))
+    return base.rounded(splits.nested_protocol(base.tasks(spark, sf_dir), SALT, (1, 2, 3)))
 
 
 @query("WITH" + ATTEMPTS + """, n AS (SELECT trajectory_id::BIGINT % 7 AS m, st, count(*) AS calls, sum(attempts)::BIGINT AS attempts, sum(terminals)::BIGINT AS terminals FROM calls GROUP BY trajectory_id, st), o AS (SELECT o_orderkey % 7 AS m, count(*) AS runs FROM orders GROUP BY ALL),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runledger.operators import compare, forecast, metrics, points, splits
+from runledger.operators import compare, crossfit, forecast, metrics, points, splits
 from runledger.plans import base
 from runledger.plans.base import CELL, HISTORY, SCORED, rounded
 from runledger.sources import mapping
@@ -178,6 +178,45 @@ def carried_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.carried_forecast(points.visible_spend(at), "start").select("trajectory_id", "logical_call_id", F.col("carried").cast("double").alias("carried"))
 
 
+_CROSSFIT = f""",
+  inn AS (SELECT task_id, test_fold, (row_number() OVER (PARTITION BY test_fold ORDER BY sha256('{base.SALT}:inner' || chr(0) || task_id), task_id) - 1) % 5 AS inner_fold FROM (SELECT task_id, k AS test_fold, ((fold - k) % {base.FOLDS} + {base.FOLDS}) % {base.FOLDS} AS ahead FROM fold, (SELECT unnest(range({base.FOLDS})) AS k)) WHERE ahead > 2),
+  comp AS (SELECT condition_id, test_fold, k AS component, remaining, sum(weight) AS w FROM lw JOIN inn USING (task_id), (SELECT unnest(range(5)) AS k) WHERE k <> inner_fold GROUP BY ALL),
+  run AS (SELECT condition_id, test_fold, component, remaining, sum(w) OVER (PARTITION BY condition_id, test_fold, component ORDER BY remaining) AS c, sum(w) OVER (PARTITION BY condition_id, test_fold, component) AS t FROM comp),
+  q AS (SELECT condition_id, test_fold, component, min(remaining) FILTER (c >= (0.05 - 1e-12) * t) AS lo, min(remaining) FILTER (c >= (0.5 - 1e-12) * t) AS mid, coalesce(min(remaining) FILTER (c >= (0.95 - 1e-12) * t), max(remaining)) AS hi FROM run GROUP BY ALL),
+  z AS (SELECT l.trajectory_id, l.task_id, l.condition_id, k AS test_fold, CASE ((f.fold - k) % {base.FOLDS} + {base.FOLDS}) % {base.FOLDS} WHEN 0 THEN 'test' WHEN 1 THEN 'calibration' WHEN 2 THEN 'validation' ELSE 'train' END AS role, count(*) AS producers, avg(lo)::DOUBLE AS lower, avg(mid)::DOUBLE AS point, avg(hi)::DOUBLE AS upper
+    FROM (FROM labels0 WHERE ordinal = 1) l JOIN fold f USING (task_id) CROSS JOIN (SELECT unnest(range({base.FOLDS})) AS k) LEFT JOIN inn i ON i.task_id = l.task_id AND i.test_fold = k JOIN q ON q.condition_id = l.condition_id AND q.test_fold = k AND (i.inner_fold IS NULL OR i.inner_fold = q.component) GROUP BY ALL)"""
+
+
+def _seeds(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    folds = kept(splits.ranked_folds(base.tasks(spark, sf_dir), base.SALT, base.FOLDS), "folds")
+    launches = rows.where("position = 'task_pre'").select("trajectory_id", "task_id", "condition_id")
+    return crossfit.seeds(launches, points.weighted(points.eligible(rows, "task_pre")).select("task_id", "condition_id", "label_value", "weight"), folds, base.FOLDS, base.SALT)
+
+
+@query("WITH" + HISTORY + _LAUNCH_SQL + _CROSSFIT + " SELECT trajectory_id, test_fold::BIGINT AS test_fold, role, producers, round(lower, 3) AS lower, round(point, 3) AS point, round(upper, 3) AS upper FROM z")
+def crossfit_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start forecasts of all runs: of one component for training tasks, of all five for the others."""
+    rows = kept(base.all_rows(spark, sf_dir).where("target = 'task_provider_accounted_remaining'"), "rows")
+    return rounded(_seeds(rows, spark, sf_dir).select("trajectory_id", "test_fold", "role", "producers", "lower", "point", "upper"), 3)
+
+
+@query("WITH RECURSIVE" + CELL + _LAUNCH_SQL + _CROSSFIT + """, s AS (SELECT trajectory_id, ordinal, call_no, coalesce(cumulative_in, 0) + coalesce(cumulative_out, 0) AS spent, coalesce(missing_usage_attempts, 0) AS miss FROM hist),
+  d AS (SELECT trajectory_id, ordinal, call_no, CASE WHEN miss > lag(miss) OVER w THEN 0 ELSE coalesce(spent - lag(spent) OVER w, 0) END::BIGINT AS delta FROM s WINDOW w AS (PARTITION BY trajectory_id ORDER BY ordinal)),
+  chain AS (SELECT trajectory_id, condition_id, task_id, test_fold, role, ordinal, call_no, lower, point, upper FROM d JOIN z USING (trajectory_id) WHERE ordinal = 1 AND role IN ('test', 'calibration')
+    UNION ALL SELECT c.trajectory_id, c.condition_id, c.task_id, c.test_fold, c.role, d.ordinal, d.call_no, greatest(0, c.lower - d.delta), greatest(0, c.point - d.delta), greatest(0, c.upper - d.delta) FROM chain c JOIN d ON d.trajectory_id = c.trajectory_id AND d.ordinal = c.ordinal + 1),
+  hit AS (SELECT h.*, u.remaining, u.weight FROM chain h JOIN cell u USING (trajectory_id, call_no)),
+  sc AS (SELECT condition_id, test_fold, task_id, max(greatest(lower - remaining, remaining - upper, 0)) AS score FROM hit WHERE role = 'calibration' GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY condition_id, test_fold ORDER BY score) AS r, count(*) OVER (PARTITION BY condition_id, test_fold) AS n FROM sc),
+  ex AS (SELECT condition_id, test_fold, score AS e FROM rk WHERE r = least(n, greatest(1, ceil((n + 1) * 0.9)))), b AS (SELECT a.condition_id, weight, remaining AS truth, greatest(0, lower - e) AS lower, point, greatest(point, upper + e) AS upper FROM hit a JOIN ex USING (condition_id, test_fold) WHERE role = 'test')
+  SELECT condition_id, count(*) AS n_points, round(sum(weight * abs(point - truth)) / sum(weight), 3) AS mae, round(sum(weight * (truth BETWEEN lower AND upper)::INT) / sum(weight), 3) AS coverage, round(sum(weight * (upper - lower)) / sum(weight), 3) AS mean_width FROM b GROUP BY ALL""")
+def crossfit_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-fitted starts carried through the updates, calibrated and scored, by condition."""
+    rows = kept(base.all_rows(spark, sf_dir).where("target = 'task_provider_accounted_remaining'"), "rows")
+    weights = points.weighted(points.eligible(rows, "task_update")).select("point_id", "weight")
+    out = crossfit.lifecycle(rows, weights, kept(_seeds(rows, spark, sf_dir), "seeds"))
+    inside = F.col("truth").between(F.col("lower"), F.col("upper")).cast("double")
+    return rounded(out.groupBy("condition_id").agg(F.count("*").alias("n_points"), metrics.weighted_mean(F.abs(F.col("point") - F.col("truth"))).alias("mae"), metrics.weighted_mean(inside).alias("coverage"), metrics.weighted_mean(F.col("upper") - F.col("lower")).alias("mean_width")), 3)
+
+
 @query("WITH" + SCORED + """, c AS (SELECT condition_id, 'empirical' AS candidate_id, sum(weight * abs(point - truth)) / sum(weight) AS mae FROM scored GROUP BY ALL UNION ALL SELECT condition_id, 'flat', sum(weight * abs(100000 - truth)) / sum(weight) FROM scored GROUP BY ALL)
   SELECT condition_id, arg_min(candidate_id, mae) AS best_candidate, round(min(mae), 4) AS best_mae FROM c GROUP BY ALL""")
 def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

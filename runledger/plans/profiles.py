@@ -11,6 +11,7 @@ from runledger.plans import base
 from runledger.plans.base import ATTEMPTS, LABELS, rounded
 from runledger.sources import mapping
 from runledger.sources.mapping import table
+from runledger.sources.tables import kept
 
 QUERIES, ORACLES = {}, {}
 
@@ -158,11 +159,31 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.pseudonym("salt", F.col("doc_id").cast("string")).alias("pseudonym"))
 
 
-@query()
+_NEAREST = r"""WITH tok AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}') AS w FROM documents UNION ALL SELECT 'q', item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}') FROM benchmark),
+  c AS (SELECT side, id, term, count(*) AS tf FROM (SELECT side, id, unnest(w || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS term FROM tok) GROUP BY ALL), n AS (SELECT count(DISTINCT id) AS n FROM c WHERE side = 'd'),
+  v AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df FROM c WHERE side = 'd' GROUP BY term ORDER BY df DESC, term LIMIT 4096), n), x AS (SELECT side, id, term, (1 + ln(tf)) * idf AS w FROM c JOIN v USING (term)),
+  y AS (SELECT side, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY side, id)) AS w FROM x), p AS (SELECT a.id AS item_id, b.id AS doc_id, round(sum(a.w * b.w), 9) AS similarity FROM (FROM y WHERE side = 'q') a JOIN (FROM y WHERE side = 'd') b USING (term) GROUP BY a.id, b.id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank FROM p WHERE similarity > 0 QUALIFY rank <= 5)"""
+
+
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = kept(retrieval.terms(table(spark, sf_dir, "documents"), "doc_id", "text"), "terms")
+    asked = retrieval.terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    vocab = kept(retrieval.vocabulary(docs, "doc_id"), "vocabulary")
+    # documents and items have numbers of their own: an item has no document of the same id to leave out
+    named = retrieval.vectors(docs, vocab, "doc_id").withColumn("doc_id", F.col("doc_id") + 1_000_000_000)
+    found = retrieval.neighbours(retrieval.vectors(asked, vocab, "item_id"), named, "item_id", "doc_id")
+    return found.withColumn("doc_id", F.col("doc_id") - 1_000_000_000)
+
+
+@query(_NEAREST + " SELECT item_id, doc_id, similarity, rank FROM r")
 def text_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five documents nearest to each benchmark item; the vocabulary comes from the documents alone."""
-    docs = retrieval.terms(table(spark, sf_dir, "documents"), "doc_id", "text")
-    asked = retrieval.terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    vocab = retrieval.vocabulary(docs, "doc_id")
-    found = retrieval.neighbours(retrieval.vectors(asked, vocab, "item_id"), retrieval.vectors(docs, vocab, "doc_id").withColumn("doc_id", F.col("doc_id") + 1_000_000_000), "item_id", "doc_id")
-    return found.select("item_id", (F.col("doc_id") - 1_000_000_000).alias("doc_id"), "similarity", "rank")
+    return rounded(_nearest(spark, sf_dir), 9)
+
+
+@query(_NEAREST + """ SELECT item_id, median(n_chars) AS total_median, round(quantile_cont(n_chars, 0.75) - quantile_cont(n_chars, 0.25), 6) AS total_iqr, median(length(source)) AS calls_median, round(avg(similarity), 6) AS mean_similarity, count(*) AS n_neighbours FROM r JOIN documents USING (doc_id) GROUP BY item_id""")
+def neighbour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of each item's neighbours: their lengths as totals, the lengths of their sources' names as calls."""
+    facts = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("total"), F.char_length("source").alias("calls"))
+    return rounded(retrieval.neighbour_features(_nearest(spark, sf_dir), facts, "item_id", "doc_id"))

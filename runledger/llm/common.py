@@ -65,44 +65,33 @@ def located(docs: DataFrame, plain: bool = False) -> DataFrame:
     return stored(own, "located").select(*place)
 
 
-#: A vertex with a ``1 / HOT``-th of the edges or more is hot, so there are ``2 * HOT`` of them at most.
-HOT = 1000
-
-
-def _with_value(edges: DataFrame, values: DataFrame, total: int) -> DataFrame:
-    """edges (u, v) with m out of values (u, m, c: edges of u). Hot vertices meet theirs by a broadcast of ``2 * HOT`` rows at
-    most, so that no centre of a star is the key of a shuffle; all others by a join."""
-    hot = values.where(F.col("c") * HOT >= total).select("u", "m")
-    marked = edges.join(F.broadcast(hot), "u", "left")
-    return marked.where("m IS NOT NULL").unionByName(marked.where("m IS NULL").drop("m").join(values.select("u", "m"), "u"))
-
-
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Components of undirected edges (a long, b long) as rows (id, component), component the smallest id.
 
-    Alternating large-star and small-star steps; every round is two aggregations and joins on ids, and
-    is written to the shared folder. Vertices without an edge do not appear. Self-loops are ignored; an
+    Alternating large-star and small-star steps, two aggregations and two joins on ids a round. Each is written to
+    the shared folder, so that the joins read tables of known size: Spark looks a small one up by broadcast, and
+    between large ones it can split the shuffled partition of a star's centre. Vertices without an edge do not appear. Self-loops are ignored; an
     empty input gives an empty result.
     """
     spark = edges.sparkSession
     now, path = stored_at(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "cc")
-    total, last = now.count(), None
+    last = None
     for _ in range(most_rounds):
         # large-star: the larger neighbours of each vertex are linked with its smallest neighbour or itself
         both = now.unionByName(now.selectExpr("v AS u", "u AS v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
-        large = _with_value(both.where("v > u"), least, total).selectExpr("v AS u", "m AS v").distinct()
+        least, least_at = stored_at(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc")
+        large, large_at = stored_at(both.where("v > u").join(least, "u").selectExpr("v AS u", "m AS v").distinct(), "cc")
         # small-star: the smaller neighbours of each vertex, and itself, are linked with the smallest of them
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-        small = _with_value(large, lowest, total)
-        small = small.where("v <> m").selectExpr("v AS u", "m AS v").unionByName(small.selectExpr("u", "m AS v"))
+        lowest, lowest_at = stored_at(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
+        small = large.join(lowest, "u").where("v <> m").selectExpr("v AS u", "m AS v")
         before = path
-        now, path = stored_at(small.distinct(), "cc")
-        removed(spark, before)
+        now, path = stored_at(small.unionByName(lowest.withColumnRenamed("m", "v")).distinct(), "cc")
+        for done in (before, least_at, large_at, lowest_at):
+            removed(spark, done)
         mark = now.agg(F.count("*"), F.sum(F.expr("CAST(xxhash64(u, v) AS DECIMAL(38, 0))"))).first()
         if tuple(mark) == last:
             break
-        last, total = tuple(mark), mark[0]
+        last = tuple(mark)
     else:
         raise RuntimeError(f"components not stable after {most_rounds} rounds")
     members = now.groupBy("u").agg(F.min("v").alias("component")).selectExpr("u AS id", "component")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,22 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in wanted.items()))
 
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
+
+def in_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` over batches of ``BATCH_ROWS`` rows at most.
+
+    Spark's own 10,000 rows make a whole partition of texts or sets one batch, which both sides of a task hold more
+    than once. Spark reads the setting when the result is run, so it stays lowered in the session; a lower one is kept.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "0")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def located(docs: DataFrame, plain: bool = False) -> DataFrame:
     """docs with its columns as c0, c1, ... and each row's place, ``_file`` and ``_row``, the same whenever it is read.
 

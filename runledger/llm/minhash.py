@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm import textvec
-from runledger.llm.common import columns, connected_components, maybe_in, stored, without
+from runledger.llm.common import columns, connected_components, in_batches, maybe_in, stored, without
 
 BANDS, ROWS = 48, 6
 PERMS = BANDS * ROWS
@@ -229,7 +229,7 @@ def _group_links(groups: DataFrame, nodes: DataFrame, texts: DataFrame, k: int,
     def material(rows: DataFrame) -> DataFrame:
         """rows with the signature and shingles of their node. Texts are never shuffled, only sets, and each node's once before rows need copies."""
         wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi")
-        found = maybe_in(texts, "doc_id", wanted.select("id")).mapInArrow(partial(_sets, k=k), "set_key binary, shingles array<long>")
+        found = in_batches(maybe_in(texts, "doc_id", wanted.select("id")), partial(_sets, k=k), "set_key binary, shingles array<long>")
         found = found.groupBy("set_key").agg(F.first("shingles").alias("shingles"))  # repeated rows, and what the filter lets through in excess
         return rows.join(wanted.join(found.hint("merge"), "set_key").select("node", "sig", "shingles").hint("merge"), "node")
 
@@ -239,7 +239,7 @@ def _group_links(groups: DataFrame, nodes: DataFrame, texts: DataFrame, k: int,
     members = groups.where("node <> leader").join(sizes, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks", "node")
     leaders = sizes.select("leader", _upto("blocks").alias("block"), "blocks", F.col("leader").alias("node"))
     dealt = material(members.unionByName(leaders)).repartition("leader", "block").sortWithinPartitions("leader", "block", "node")
-    first = stored(dealt.mapInArrow(partial(_first_links, fewest=fewest, percent=percent), _LINKS), "near-links")
+    first = stored(in_batches(dealt, partial(_first_links, fewest=fewest, percent=percent), _LINKS), "near-links")
     still = first.where("b IS NULL").select("leader", F.col("a").alias("node"))
     if still.isEmpty():
         return first.select("a", "b")
@@ -253,7 +253,7 @@ def _group_links(groups: DataFrame, nodes: DataFrame, texts: DataFrame, k: int,
     mine = some.where("apart").select("leader", block("ones").alias("one"), _upto("twos").alias("two"), "node", "apart", F.lit(True).alias("mine"))
     others = some.select("leader", _upto("ones").alias("one"), block("twos").alias("two"), "node", "apart", F.lit(False).alias("mine"))
     dealt = material(mine.unionByName(others)).repartition("leader", "one", "two").sortWithinPartitions("leader", "one", "two", "node")
-    second = stored(dealt.mapInArrow(partial(_second_links, fewest=fewest, percent=percent), _LINKS), "near-links")
+    second = stored(in_batches(dealt, partial(_second_links, fewest=fewest, percent=percent), _LINKS), "near-links")
     return first.where("b IS NOT NULL").unionByName(second).select("a", "b")
 
 
@@ -264,7 +264,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     id is its smallest doc_id. class_id is the smallest doc_id with the same set.
     """
     texts = columns(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    sketches = stored(texts.mapInArrow(partial(_sketch, k=k), _SKETCH), "near-sketches")
+    sketches = stored(in_batches(texts, partial(_sketch, k=k), _SKETCH), "near-sketches")
     own = sketches.where("n > 0 AND doc_id IS NOT NULL")
     nodes = own.groupBy("set_key").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "bands", "sig")))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm import textvec
-from runledger.llm.common import columns
+from runledger.llm.common import columns, in_batches
 from runledger.llm.tokens import END, encoder
 
 TIERS = (256, 512, 1024, 2048)
@@ -149,7 +149,7 @@ _NAMES = [c.split()[0] for c in _PIECES.split(", ")]
 def pack_tiers(docs: DataFrame, tokenizer: str, step_units: int = STEP_UNITS) -> DataFrame:
     """One row a piece of docs (doc_id, text): where it lies, its ids (uint32, little-endian), tier and step group."""
     own = columns(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return own.mapInArrow(partial(_tiers, path=tokenizer, step_units=step_units), _PIECES)
+    return in_batches(own, partial(_tiers, path=tokenizer, step_units=step_units), _PIECES)
 
 
 class _Capacities:

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runledger.llm import textvec
-from runledger.llm.common import columns
+from runledger.llm.common import columns, in_batches
 
 SAMPLE = 1000
 ORDER = 3
@@ -222,7 +222,7 @@ def identify(docs: DataFrame, trees: Trees | None, with_text: bool = False) -> D
     lettered = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("lettered")
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample's texts: their distinct windows of four bytes
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), *["text string"] * with_text, "lang_pred string, score double"])
-    return docs.select(*(F.col(f"`{f.name}`") for f in others), "text", lettered).mapInArrow(partial(_predict, trees=shared, with_text=with_text), schema)
+    return in_batches(docs.select(*(F.col(f"`{f.name}`") for f in others), "text", lettered), partial(_predict, trees=shared, with_text=with_text), schema)
 
 
 def remainder(doc_id: Column, by: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import crossentropy, exact_stream, minhash, mixing, packing, pivots, ppm, toxicity, warc
+from runledger.llm import crossentropy, exact_stream, minhash, mixing, packing, pivots, ppm, ranked, repeats, toxicity, warc, whitening
 from runledger.llm.common import stored
 
 
@@ -63,7 +63,22 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_matrices, op3_near_dedup, op4_tier_packing, op5_language_id, op6_toxicity, op7_exact_dedup, op8_warc_segments, op9_cross_entropy, op10_near_vectors)}
+def op11_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All copies of repeated strings of 400 bytes go, the first too."""
+    rest = repeats.remove_repeats(read(spark, sf_dir, "documents"), plain=True)
+    return rest.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item against all documents."""
+    return ranked.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_matrices, op3_near_dedup, op4_tier_packing, op5_language_id, op6_toxicity, op7_exact_dedup, op8_warc_segments, op9_cross_entropy, op10_near_vectors, op11_repeated_bytes, op12_whitening, op13_ranked_search)}
 
 _REACHED = """reach AS (SELECT id, id AS to_id FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.to_id)"""
 
@@ -85,4 +100,11 @@ ORACLES: dict[str, str] = {
   ok AS (SELECT * FROM nodes WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
   links AS (SELECT x.id AS a, y.id AS b FROM ok x JOIN ok y ON x.label = y.label AND x.id <> y.id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
   """ + _REACHED + """ SELECT r.id AS vec_id, (SELECT count(*) FROM links WHERE a = r.id) AS n_links, min(to_id) AS component_id, r.id = min(to_id) AS kept FROM reach r GROUP BY r.id""",
+    "op13_ranked_search": r"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+  t AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM w), p AS (SELECT doc_id, n, t, count(*) AS tf FROM t GROUP BY ALL),
+  s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS total FROM w WHERE len(w) > 0),
+  q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+  d AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY t),
+  c AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::BIGINT AS score FROM q JOIN d USING (t) JOIN p USING (t), s GROUP BY ALL)
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM c WHERE score > 0 QUALIFY rank <= 50""",
 }

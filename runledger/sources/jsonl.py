@@ -54,13 +54,15 @@ def write(events: DataFrame, path: str) -> None:
 
 def acceptable(new: DataFrame, stored: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): events whose sequence grows within their run, after what is stored, and whose id is new."""
-    w = W.partitionBy("trajectory_id").orderBy("event_seq", "event_id")
-    at = new.withColumn("_before", F.lag("event_seq").over(w)).withColumn("_copy", F.row_number().over(W.partitionBy("event_id").orderBy("trajectory_id", "event_seq")))
-    bad = (F.coalesce(F.col("event_seq") <= F.col("_before"), F.lit(False))) | (F.col("_copy") > 1)
+    at = new.withColumn("_twice", F.row_number().over(W.partitionBy("event_id").orderBy("trajectory_id", "event_seq")) > 1)
+    top = F.lit(None).cast("long")
     if stored is not None:
-        top = stored.groupBy("trajectory_id").agg(F.max("event_seq").alias("_top"))
-        at = at.join(top, "trajectory_id", "left").join(stored.select("event_id", F.lit(True).alias("_known")), "event_id", "left")
-        bad = bad | F.coalesce(F.col("event_seq") <= F.col("_top"), F.lit(False)) | F.coalesce("_known", F.lit(False))
+        tops = stored.groupBy("trajectory_id").agg(F.max("event_seq").alias("_top"))
+        at = at.join(tops, "trajectory_id", "left").join(stored.select("event_id", F.lit(True).alias("_known")), "event_id", "left")
+        at, top = at.withColumn("_twice", F.col("_twice") | F.coalesce("_known", F.lit(False))), F.col("_top")
+    # what goes for its id holds no place in the sequence
+    before = F.lag("event_seq").over(W.partitionBy("trajectory_id", "_twice").orderBy("event_seq", "event_id"))
+    bad = F.col("_twice") | F.coalesce(F.col("event_seq") <= before, F.lit(False)) | F.coalesce(F.col("event_seq") <= top, F.lit(False))
     at = at.withColumn("_bad", bad)
     return at.where("NOT _bad").select(*new.columns), at.where("_bad").select(*new.columns)
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Payload keys whose values are secrets.
 SECRET_KEYS = ("api_key", "apikey", "authorization", "access_token", "refresh_token", "client_secret", "token", "password", "secret", "cookie", "set_cookie")
@@ -36,21 +41,63 @@ def redacted_map(payload: Column) -> Column:
     return F.transform_values(payload, lambda k, v: F.when(secret(k), F.lit("[REDACTED]")).otherwise(redacted_text(v)))
 
 
-_STRING = r'"(?:[^"\\]|\\.)*"'
-_FLAT = rf'(?:[^{{}}\[\]"]|{_STRING})*'
-_NESTED = _FLAT
-for _ in range(3):
-    _NESTED = rf"(?:{_FLAT}|[{{\[]{_NESTED}[}}\]])*"
+_TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"?|[{}\[\]]', re.DOTALL)
+_COLON, _SCALAR = re.compile(r"\s*:\s*"), re.compile(r'[^\s,{}\[\]"]*')
+
+
+def _is_secret(key: str) -> bool:
+    """Whether a key, as it stands in a JSON text with its quotes, names a secret."""
+    if "\\" in key:
+        try:
+            key = f'"{json.loads(key)}"'
+        except ValueError:
+            return False
+    return key[1:-1].lower().replace("-", "_") in _SPELLINGS
+
+
+_SPELLINGS = {*SECRET_KEYS, *(k.replace("_", "") for k in SECRET_KEYS)}
+
+
+def without_secrets(text: str) -> str:
+    """A JSON text with the values of secret keys replaced, in one pass over its strings and brackets: at any depth, of
+    any length, and to the end of the text where a value isn't closed. All else stays as it is written."""
+    out, at, token = [], 0, _TOKEN.search(text)
+    while token:
+        end = token.end()
+        colon = _COLON.match(text, end) if token.group()[0] == '"' else None
+        if colon and _is_secret(token.group()):
+            end = _value_end(text, colon.end())
+            if end > colon.end():
+                out += [text[at : colon.end()], '"[REDACTED]"']
+                at = end
+        token = _TOKEN.search(text, end)
+    return "".join([*out, text[at:]])
+
+
+def _value_end(text: str, at: int) -> int:
+    first = text[at : at + 1]
+    if first not in ("{", "["):
+        return (_TOKEN if first == '"' else _SCALAR).match(text, at).end() if first not in ("}", "]") else at
+    depth, end = 0, len(text)
+    for token in _TOKEN.finditer(text, at):
+        depth += {"{": 1, "[": 1, "}": -1, "]": -1}.get(token.group(), 0)
+        if depth == 0:
+            end = token.end()
+            break
+    return end
+
+
+@F.pandas_udf(StringType())
+def _without_secrets(texts: pd.Series) -> pd.Series:
+    return texts.map(without_secrets, na_action="ignore")
 
 
 def redacted_json(text: Column) -> Column:
     """A JSON text with the values of secret keys replaced at any depth, be they texts, numbers, objects or lists, and
-    credentials in the others. A secret nested deeper than three levels takes the whole text with it."""
+    credentials in the others. Only texts that may hold such a key leave the JVM."""
     keys = "|".join(k.replace("_", "[_-]?") for k in SECRET_KEYS)
-    value = rf"(?:{_STRING}|[{{\[]{_NESTED}[}}\]]|[^\s,{{}}\[\]\"]+)"
-    out = F.regexp_replace(text, rf'(?i)("(?:{keys})"\s*:\s*){value}', '$1"[REDACTED]"')
-    left = out.rlike(rf'(?i)"(?:{keys})"\s*:\s*[{{\[]')
-    return F.when(left, F.lit("[REDACTED]")).otherwise(redacted_text(out))
+    may = text.rlike(rf'(?i)"(?:{keys})"\s*:|\\u00')
+    return redacted_text(F.when(may, _without_secrets(F.when(may, text))).otherwise(text))
 
 
 def row_identity(*columns: Column) -> Column:

@@ -4,7 +4,8 @@ Every vector is described by the ordered list of its nearest reference points (p
 inverted: a list for every ``shared`` pivots together, holding the vectors that have all of them among
 their ``prefix`` nearest. Two vectors meet in a list exactly if they share so many pivots; pairs that
 meet are verified by cosine in double precision. Pivots are fitted on a bounded sample (``SAMPLE``
-vectors a dimension, chosen by hash, picked farthest-first); every vector is indexed. Long lists are cut
+vectors a dimension, chosen by hash, picked farthest-first while they are further apart than two links can reach;
+the rest are seeded random directions, so that no two lie within one tight group, whose order would be noise); every vector is indexed. Long lists are cut
 into blocks and every pair of blocks is a task's work of its own, so a hot list is spread and none is cut
 off. A pair is counted in one list only, that of its smallest shared pivots.
 
@@ -17,6 +18,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -34,9 +36,10 @@ BLOCK = 512
 MOST_DIMENSIONS = 64
 
 
-def fit_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> dict[int, np.ndarray]:
+def fit_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE, least: float = 0.98) -> dict[int, np.ndarray]:
     """Pivots of each dimension from at most ``sample`` vectors of it (and of at most 64 dimensions; others take
-    seeded random ones), picked farthest-first by cosine."""
+    seeded random ones), picked farthest-first by cosine and no closer than twice the angle of ``least``."""
+    apart = math.cos(min(math.pi, 2 * math.acos(min(1.0, max(-1.0, least)))))
     dims = [r["dim"] for r in vectors.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(MOST_DIMENSIONS).collect()]
     out = {}
     for dim in dims:
@@ -45,7 +48,10 @@ def fit_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -
         unit /= np.linalg.norm(unit, axis=1)[:, None]
         chosen, nearest = [0], unit @ unit[0]
         while len(chosen) < min(pivots, len(unit)):
-            chosen.append(int(np.argmin(nearest)))
+            furthest = int(np.argmin(nearest))
+            if nearest[furthest] >= apart:
+                break
+            chosen.append(furthest)
             nearest = np.maximum(nearest, unit @ unit[chosen[-1]])
         out[dim] = np.concatenate([unit[chosen], _random(dim, pivots - len(chosen))])
     return out
@@ -110,9 +116,11 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float, shared: int) -> Ite
             own = _first_shared(smallest, one, two, shared)
             here = _first_of(table, at)
             counted = (own == here).all(axis=1)
-            for i, j in zip(one[counted], two[counted], strict=True):
-                counts[ids[at + i]] = counts.get(ids[at + i], 0) + int(copies[at + j])
-                counts[ids[at + j]] = counts.get(ids[at + j], 0) + int(copies[at + i])
+            here_links = np.zeros(to - at, np.int64)
+            np.add.at(here_links, one[counted], copies[at + two[counted]])
+            np.add.at(here_links, two[counted], copies[at + one[counted]])
+            for i in np.flatnonzero(here_links):
+                counts[ids[at + i]] = counts.get(ids[at + i], 0) + int(here_links[i])
             label = np.arange(to - at)
             while True:
                 low = np.where(close, label, to - at).min(axis=1)
@@ -162,7 +170,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, pivots: int = PIVOTS,
     usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite, F.lit(False))
     own = own.withColumn("usable", usable)
     classes = stored(own.where("usable").groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vector-classes")
-    fitted = fit_pivots(classes.select("id", "vector", F.size("vector").alias("dim")), pivots)
+    fitted = fit_pivots(classes.select("id", "vector", F.size("vector").alias("dim")), pivots, least=least)
     index = stored(classes.select("id", "label", "copies", "vector").mapInArrow(partial(_index, pivots=fitted, prefix=prefix), "id long, label string, copies long, vector array<double>, nearest array<int>"), "vector-index")
 
     # inverted lists: one for every ``shared`` pivots of the prefix, smallest first

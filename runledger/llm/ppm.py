@@ -182,10 +182,11 @@ def hash_share(key: Column) -> Column:
 def hash_sample(rows: DataFrame, key: str, by: str, sample: int) -> DataFrame:
     """(key, by): for each value of ``by`` about the ``sample`` keys with the smallest hash, and no more.
 
-    Rows of a value are counted first, and only those below a share of the hashes that holds about twice
-    the sample are ranked: no task sees more than that of one value, however hot it is.
+    The distinct keys of a value are counted first (within 2 %, by sketches), and only keys below a share of the hashes
+    that holds about twice the sample are ranked: no task sees more than that of one value, however hot it is or its
+    keys are.
     """
-    counts = rows.groupBy(by).agg(F.count("*").alias("_n"))  # one row a label
+    counts = rows.groupBy(by).agg(F.approx_count_distinct(key, 0.02).alias("_n"))  # one row a label
     few = rows.select(key, by).join(F.broadcast(counts), by).where(hash_share(F.col(key)) < 2.0 * sample / F.col("_n")).select(key, by).distinct()
     ranked = few.withColumn("_rank", F.row_number().over(W.partitionBy(by).orderBy(hash_share(F.col(key)), key)))
     return ranked.where(F.col("_rank") <= sample).select(key, by)

@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -39,6 +41,7 @@ RECORDS_A_FILE = 2_000
 #: Fixed value: what ends a WARC record.
 RECORD_END = "\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
+_HEX = re.compile(rb"[0-9A-Fa-f]+")
 _BATCH_BYTES = 4_000_000
 _RAW = "record_id string, origin_id string, segment int, total long, kind string, page_id long, refers_to string, digest string, problem string, block binary"
 
@@ -53,7 +56,10 @@ def dechunked(body: bytes) -> bytes:
     out, at = [], 0
     while True:
         end = body.index(b"\r\n", at)
-        size = int(body[at:end].split(b";")[0], 16)
+        said = body[at:end].split(b";")[0].strip(b" \t")
+        if not _HEX.fullmatch(said):
+            raise ValueError("a chunk without its size")
+        size = int(said, 16)
         at = end + 2
         if size == 0:
             return b"".join(out)
@@ -155,7 +161,7 @@ def parsed(stream) -> Iterator[tuple[dict[str, str], bytes]]:
             raise BrokenRecord("a record without its length", fields)
         try:
             block = stream.read(int(size))
-        except (OSError, EOFError) as e:
+        except (OSError, EOFError, zlib.error) as e:
             raise BrokenRecord("the archive ends within a record", fields) from e
         if len(block) != int(size):
             raise BrokenRecord("the archive ends within a record", fields)
@@ -169,7 +175,7 @@ def _readable(stream) -> Iterator[tuple[dict[str, str], bytes | None, str | None
             yield fields, block, None
     except BrokenRecord as e:
         yield e.fields, None, str(e)
-    except (OSError, EOFError) as e:  # the compression breaks off between records
+    except (OSError, EOFError, zlib.error) as e:  # the compression breaks off between records
         yield {}, None, f"the archive can't be read on: {type(e).__name__}"
 
 

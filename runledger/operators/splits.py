@@ -61,3 +61,82 @@ def nested_protocol(tasks: DataFrame, salt: str, seeds: tuple[int, ...], outer:
         one = inner_folds.join(outer_folds, "task_id").withColumn("seed", F.lit(seed))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+#: Declared groups that covering_folds takes at most; what it plans on the driver is bounded by this times the folds, squared.
+GROUPS = 2_000
+
+
+def _starts(sizes: dict[str, int], of: dict[str, list[str]], at: dict[str, int], fixed: dict[tuple[str, int], int], folds: int) -> dict[str, int]:
+    """New first folds of the movable signatures: each in turn goes where most (group, fold) places gain their only
+    tasks and none loses its last, until a round changes nothing. A place's count only falls if it stays above 0."""
+    there = dict(fixed)
+    covers = lambda s, start: [(start + i) % folds for i in range(sizes[s])]
+    def put(s: str, start: int, by: int) -> None:
+        for g in of[s]:
+            for f in covers(s, start):
+                there[g, f] = there.get((g, f), 0) + by
+
+    for s in sizes:
+        put(s, at[s], 1)
+    for _ in range(len(sizes) + 1):  # every round but the last covers a place more
+        before = dict(at)
+        for s in sorted(sizes):
+            put(s, at[s], -1)
+            gain = lambda start, s=s: sum(not there.get((g, f), 0) for g in of[s] for f in covers(s, start))
+            best = max(gain(start) for start in range(folds))
+            if gain(at[s]) < best:
+                at[s] = next(start for start in range(folds) if gain(start) == best)
+            put(s, at[s], 1)
+        if at == before:
+            break
+    return at
+
+
+def covering_folds(members: DataFrame, salt: str, folds: int) -> DataFrame:
+    """balanced_folds in which every group has a task in every fold: (task_id, signature, fold, moved).
+
+    A signature with as many tasks as folds is in all of them; only groups without one can lack a fold. For each such
+    group up to ``folds`` of its smaller signatures (by hash) may turn to another first fold, which moves all their
+    tasks; that many are enough for a group by itself. Signatures turn one after the other, so a cover that needs
+    several to turn at once may be missed; a group that still lacks a fold is an error with its name, as is one with
+    fewer tasks than folds. Null groups and tasks count for nothing; repeated members count once; no members, no rows.
+    What reaches the driver is bounded by GROUPS groups times folds rows; more groups are an error.
+    """
+    own = members.select("task_id", "group_id").where("task_id IS NOT NULL AND group_id IS NOT NULL").distinct()
+    dealt = balanced_folds(own, salt, folds)
+    sizes = dealt.groupBy("signature").agg(F.count("*").cast("int").alias("n"))
+    signed = own.join(dealt, "task_id")
+    groups = signed.groupBy("group_id", "signature").agg(F.count("*").alias("n")).groupBy("group_id").agg(F.max("n").alias("most"), F.sum("n").alias("tasks"))
+    told = groups.orderBy("group_id").limit(GROUPS + 1).collect()
+    if len(told) > GROUPS:
+        raise ValueError(f"more than {GROUPS} groups")
+    if few := [r.group_id for r in told if r.tasks < folds]:
+        raise ValueError(f"groups with fewer tasks than folds: {few}")
+    spread = signed.join(F.broadcast(groups.where(F.col("most") < folds).select("group_id")), "group_id")  # at most GROUPS rows
+    places = spread.groupBy("group_id", "fold").agg(F.count("*").alias("n"))
+    lacking = places.groupBy("group_id").agg(F.count("*").alias("k")).where(F.col("k") < folds).select("group_id")
+    small = spread.join(F.broadcast(lacking), "group_id").select("group_id", "signature").distinct()
+    rank = F.row_number().over(W.partitionBy("group_id").orderBy(F.sha2(F.concat(F.lit(salt), F.lit("\0"), F.col("signature")), 256), "signature"))
+    movable = small.withColumn("rank", rank).where(F.col("rank") <= folds).select("signature").distinct()
+    start = hash_mod(F.concat(F.lit(salt), F.lit("\0"), F.col("signature")), folds).cast("int")
+    turning = spread.join(movable, "signature").select("signature", "group_id").distinct().join(sizes, "signature").groupBy("signature", "n").agg(F.collect_set("group_id").alias("groups")).withColumn("start", start).collect()
+    count = {(r.group_id, r.fold): r.n for r in places.collect()}
+    of = {r.signature: r.groups for r in turning}
+    for r in turning:
+        for g in r.groups:
+            for i in range(r.n):
+                count[g, (r.start + i) % folds] -= 1
+    before = {r.signature: r.start for r in turning}
+    size = {r.signature: r.n for r in turning}
+    after = _starts(size, of, dict(before), count, folds)
+    for s, first in after.items():
+        for g in of[s]:
+            for i in range(size[s]):
+                count[g, (first + i) % folds] = count.get((g, (first + i) % folds), 0) + 1
+    if bare := sorted({g for g in {r.group_id for r in told if r.most < folds} if any(not count.get((g, f), 0) for f in range(folds))}):
+        raise ValueError(f"groups without a task in some fold: {bare}")
+    turns = [(s, (after[s] - before[s]) % folds) for s in after]
+    turned = members.sparkSession.createDataFrame(turns, "signature string, turn int")
+    out = dealt.join(F.broadcast(turned), "signature", "left").withColumn("turn", F.coalesce("turn", F.lit(0)))
+    return out.select("task_id", "signature", ((F.col("fold") + F.col("turn")) % folds).alias("fold"), (F.col("turn") != 0).alias("moved"))

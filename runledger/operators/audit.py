@@ -42,6 +42,16 @@ def status_matrix(rows: DataFrame, positions: Sequence[str], targets: Sequence[s
     return F.broadcast(grid).join(found, ["position", "target", "label_status"], "left").na.fill(0, ["n"])
 
 
+def status_reasons(rows: DataFrame, positions: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """Rows by position, target, status and reason, zero-filled: every (status, reason) that occurs anywhere has a row at
+    every given position and target. A null reason counts as the empty one; without rows there is nothing."""
+    spark = rows.sparkSession
+    grid = spark.createDataFrame([(p, t) for p in positions for t in targets], "position string, target string")
+    found = rows.groupBy("position", "target", "label_status", F.coalesce("label_reason", F.lit("")).alias("label_reason")).agg(F.count("*").alias("n"))
+    pairs = found.select("label_status", "label_reason").distinct().crossJoin(F.broadcast(grid))  # a few constants
+    return pairs.join(found, ["position", "target", "label_status", "label_reason"], "left").na.fill(0, ["n"])
+
+
 def status_totals(rows: DataFrame) -> DataFrame:
     """Status totals over all rows, by position, by target and by both, in one pass."""
     return rows.cube("position", "target").agg(F.count("*").alias("n"), *(F.count_if(F.col("label_status") == s).alias(s) for s in ("observed", "missing", "censored", "invalid")))

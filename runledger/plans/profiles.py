@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.functions import text
-from runledger.operators import audit, retrieval
+from runledger.operators import audit, retrieval, splits
 from runledger.plans import base
-from runledger.plans.base import ATTEMPTS, LABELS, rounded
+from runledger.plans.base import ATTEMPTS, FOLDS, LABELS, SALT, rounded
 from runledger.sources import mapping
 from runledger.sources.mapping import table
 from runledger.sources.tables import kept
@@ -159,7 +159,7 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.pseudonym("salt", F.col("doc_id").cast("string")).alias("pseudonym"))
 
 
-_NEAREST = r"""WITH tok AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}') AS w FROM documents UNION ALL SELECT 'q', item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}') FROM benchmark),
+_NEAREST = r"""WITH tok AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}') AS w FROM documents UNION ALL SELECT 'q', item_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}') FROM benchmark),
   c AS (SELECT side, id, term, count(*) AS tf FROM (SELECT side, id, unnest(w || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS term FROM tok) GROUP BY ALL), n AS (SELECT count(DISTINCT id) AS n FROM c WHERE side = 'd'),
   v AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df FROM c WHERE side = 'd' GROUP BY term ORDER BY df DESC, term LIMIT 4096), n), x AS (SELECT side, id, term, (1 + ln(tf)) * idf AS w FROM c JOIN v USING (term)),
   y AS (SELECT side, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY side, id)) AS w FROM x), p AS (SELECT a.id AS item_id, b.id AS doc_id, round(sum(a.w * b.w), 9) AS similarity FROM (FROM y WHERE side = 'q') a JOIN (FROM y WHERE side = 'd') b USING (term) GROUP BY a.id, b.id),
@@ -187,3 +187,41 @@ def neighbour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is known of each item's neighbours: their lengths as totals, the lengths of their sources' names as calls."""
     facts = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("total"), F.char_length("source").alias("calls"))
     return rounded(retrieval.neighbour_features(_nearest(spark, sf_dir), facts, "item_id", "doc_id"))
+
+
+@query(rf"""WITH fold AS (
+    SELECT doc_id, (row_number() OVER (ORDER BY sha256('{SALT}' || chr(0) || doc_id::VARCHAR), doc_id::VARCHAR) - 1) % {FOLDS} AS fold FROM (SELECT DISTINCT doc_id FROM documents)),
+  tok AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]{{2,}}') AS w FROM documents),
+  c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS term FROM tok) GROUP BY ALL),
+  t AS (SELECT unnest(range({FOLDS}))::INT AS test_fold),
+  role AS (SELECT doc_id, test_fold, (fold - test_fold + {FOLDS}) % {FOLDS} >= 3 AND n_chars IS NOT NULL AS train FROM fold JOIN documents USING (doc_id), t),
+  n AS (SELECT test_fold, count(*) FILTER (train) AS n FROM role GROUP BY test_fold),
+  v AS (
+    SELECT test_fold, term, ln((1 + n) / (1 + df)) + 1 AS idf
+    FROM (SELECT test_fold, term, count(*) AS df FROM c JOIN role USING (doc_id) WHERE train GROUP BY test_fold, term
+      QUALIFY row_number() OVER (PARTITION BY test_fold ORDER BY count(*) DESC, term) <= 4096) JOIN n USING (test_fold)),
+  x AS (SELECT test_fold, doc_id, term, (1 + ln(tf)) * idf AS w FROM c JOIN v USING (term)),
+  y AS (SELECT test_fold, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY test_fold, doc_id)) AS w, train FROM x JOIN role USING (test_fold, doc_id)),
+  p AS (
+    SELECT a.test_fold, a.doc_id, b.doc_id AS other, round(sum(a.w * b.w), 9) AS similarity
+    FROM y a JOIN y b ON a.test_fold = b.test_fold AND a.term = b.term AND b.train AND a.doc_id <> b.doc_id GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY test_fold, doc_id ORDER BY similarity DESC, other) AS rank FROM p WHERE similarity > 0 QUALIFY rank <= 5),
+  g AS (
+    SELECT r.doc_id, test_fold, median(n_chars) AS total_median, round(quantile_cont(n_chars, 0.75) - quantile_cont(n_chars, 0.25), 6) AS total_iqr,
+      median(length(source)) AS calls_median, round(avg(similarity), 6) AS mean_similarity, count(*) AS n_neighbours
+    FROM r JOIN documents d ON d.doc_id = r.other GROUP BY ALL)
+  SELECT doc_id, test_fold::BIGINT AS test_fold, total_median, total_iqr, calls_median, mean_similarity, coalesce(n_neighbours, 0) AS n_neighbours
+  FROM role LEFT JOIN g USING (doc_id, test_fold)""")
+def fold_neighbour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each fold's training side knows of every document's neighbours: vocabulary and idf are fitted on the training
+    documents alone, and no document is its own neighbour. Totals and calls are those of ``neighbour_features``."""
+    docs = table(spark, sf_dir, "documents")
+    facts = docs.select(F.col("doc_id").alias("neighbour_id"), F.col("n_chars").alias("total"), F.char_length("source").alias("calls"))
+    named = docs.select(F.col("doc_id").cast("string").alias("task_id"))
+    folds = kept(splits.ranked_folds(named, SALT, FOLDS).select(F.col("task_id").cast("long").alias("task_id"), "fold"), "folds")
+    learned = kept(folds.join(docs.where("n_chars IS NOT NULL").select(F.col("doc_id").alias("task_id")), "task_id", "left_semi"), "learned")
+    counted = kept(retrieval.terms(docs.withColumnRenamed("doc_id", "task_id"), "task_id", "text"), "terms")
+    found = retrieval.fold_neighbours(counted, learned, FOLDS)
+    known = retrieval.neighbour_features(found, facts, "task_id", "neighbour_id", ("test_fold",))
+    all_folds = folds.select("task_id", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))).alias("test_fold"))
+    return rounded(all_folds.join(known, ["task_id", "test_fold"], "left").fillna(0, ["n_neighbours"]).withColumnRenamed("task_id", "doc_id"))

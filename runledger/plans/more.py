@@ -81,7 +81,7 @@ def prediction_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
   r AS (SELECT condition_id, task_id, trajectory_id, string_agg(DISTINCT CASE WHEN st = 'censored' THEN why END, '+' ORDER BY CASE WHEN st = 'censored' THEN why END) AS c, string_agg(DISTINCT CASE WHEN st = 'missing' THEN why END, '+' ORDER BY CASE WHEN st = 'missing' THEN why END) AS m, count(*) FILTER (st = 'observed') AS o, count(st) AS n FROM s GROUP BY ALL)
   SELECT condition_id, CASE WHEN c IS NOT NULL THEN 'censored:' || c WHEN o > 0 THEN 'observed_termination' ELSE 'unscored_missing:' || coalesce(m, 'unspecified') END AS stratum, count(*) AS n_sequences, count(DISTINCT task_id) AS n_tasks, sum(n)::BIGINT AS n_update_boundaries, sum(o)::BIGINT AS n_scored, sum(n - o)::BIGINT AS n_context_only FROM r GROUP BY ALL""")
 def termination_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = base.all_rows(spark, sf_dir).where("target = 'task_provider_accounted_remaining'")
+    steps = base.all_rows(spark, sf_dir, history=False).where("target = 'task_provider_accounted_remaining'")
     update = F.col("position") == "task_update"
     return metrics.termination_strata(steps.select("condition_id", "task_id", "trajectory_id", F.when(update, F.col("label_status")).alias("label_status"), "label_reason"), ["condition_id"])
 

@@ -39,10 +39,7 @@ def paired_bootstrap(paired: DataFrame, replicates: int, seed: str, by: Sequence
     than one replicate's tasks. Returns means, the type-7 95 % interval and the share of replicates won.
     """
     tasks = paired.groupBy(*by, "task_id").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("candidate")).alias("c"), F.sum(F.col("weight") * F.col("reference")).alias("r"))
-    numbered = _numbered(tasks, by)
-    # every task's place doubles as a draw's number i
-    draws = numbered.select(*by, F.col("place").alias("i"), "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b")).withColumn("place", draw(seed, F.col("n"))).select(*by, "b", "place")
-    sums = draws.join(numbered.drop("task_id", "n"), [*by, "place"]).groupBy(*by, "b").agg(F.sum("w").alias("w"), F.sum("c").alias("c"), F.sum("r").alias("r"))
+    sums = _resampled(tasks, ("w", "c", "r"), replicates, seed, by)
     sums = sums.withColumn("delta", (F.col("c") - F.col("r")) / F.col("w"))
     boot = sums.groupBy(*by).agg(F.percentile("delta", 0.025).alias("ci_low"), F.percentile("delta", 0.975).alias("ci_high"), F.avg((F.col("delta") < 0).cast("double")).alias("win_probability"), F.count("*").alias("replicates"))
     full = tasks.groupBy(*by).agg((F.sum("c") / F.sum("w")).alias("candidate_mae"), (F.sum("r") / F.sum("w")).alias("reference_mae"), F.count("*").alias("n_tasks"))
@@ -129,10 +126,11 @@ def closes_over_tasks(suite: DataFrame, tasks: DataFrame, by: Sequence[str] = ()
 
 
 def _resampled(tasks: DataFrame, sums: Sequence[str], replicates: int, seed: str, by: Sequence[str]) -> DataFrame:
-    """The sums of resampled tasks, one row a replicate."""
+    """The sums of resampled tasks, one row a replicate. Every task's place doubles as a draw's number i; the numbered
+    tasks grow with the input, so they meet the draws by a sort merge and are never broadcast."""
     numbered = _numbered(tasks, by)
     draws = numbered.select(*by, F.col("place").alias("i"), "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b")).withColumn("place", draw(seed, F.col("n"))).select(*by, "b", "place")
-    return draws.join(numbered.drop("task_id", "n"), [*by, "place"]).groupBy(*by, "b").agg(*(F.sum(c).alias(c) for c in sums))
+    return draws.join(numbered.drop("task_id", "n").hint("merge"), [*by, "place"]).groupBy(*by, "b").agg(*(F.sum(c).alias(c) for c in sums))
 
 
 def across_conditions_bootstrap(errors: DataFrame, replicates: int, seed: str) -> DataFrame:

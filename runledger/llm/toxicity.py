@@ -9,8 +9,8 @@ in most of their texts and far more often than chance (a likelihood-ratio test t
 of features tried) carry log odds. The odds are cut where the learned rows err least; texts with none get
 the rate of such texts among the learned rows.
 
-Learned on a bounded sample: the ``SAMPLE`` labelled rows of each label with the smallest hash of their
-id, all of whose character sequences and features count. Defined results: a null or empty text scores like one without
+Learned on all labelled rows: all their character sequences and features count, summed by Spark; what reaches the
+driver are sequences of at most four letters, the lexicon and the rows by distinct score. Defined results: a null or empty text scores like one without
 features; labels other than 0 and 1, null ids and unlabelled rows teach nothing; without labelled rows
 every score is 0; repeated rows are scored each, repeated labels count as toxic if one of them does; an
 empty table gives an empty result; other columns are ignored.
@@ -28,10 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm import textvec
-from runledger.llm.common import columns, stored
-from runledger.llm.ppm import hash_sample, remainder
+from runledger.llm.common import columns, maybe_in, stored
+from runledger.llm.ppm import remainder
 
-SAMPLE = 10_000
 PREFIXES = (4, 5, 6, 7)
 CACHED = 100  # longer spans are decoded each time, so that a cache stays small
 
@@ -211,12 +210,11 @@ class Scorer:
         return 1 / (1 + np.exp(-(odds - self.cut)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer | None:
+def fit(docs: DataFrame, labels: DataFrame) -> Scorer | None:
     """A scorer from docs (doc_id, text) and labels (doc_id, toxic)."""
     marked = columns(labels, doc_id="doc_id", toxic="toxic").where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
-    marked = marked.join(docs.select("doc_id"), "doc_id", "left_semi")
-    chosen = F.broadcast(hash_sample(marked, "doc_id", "toxic", sample))  # at most 2 * sample rows
-    learned = stored(docs.where("text IS NOT NULL").join(chosen, "doc_id").select("text", "toxic"), "toxic-sample")  # at most 2 * sample texts, read four times
+    texts = maybe_in(docs.where("text IS NOT NULL"), "doc_id", marked.select("doc_id"))
+    learned = stored(texts.join(marked, "doc_id").select("text", "toxic"), "toxic-learned")  # read four times
     grams = learned.mapInArrow(_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     if not grams.num_rows:
         return None
@@ -233,25 +231,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer | No
     kept = counts.where(share > max(base, 0.5)).where(F.col("gain") > float(np.log(max(tried, 1)) + 1)).orderBy("feature").toArrow()
     n0, n1, hashes = (kept.column(c).to_numpy() for c in ("n0", "n1", "feature"))
     scorer = Scorer(model, hashes.astype(np.int64).view(np.uint64), np.log((n1 + base) / (n0 + 1 - base)), -9.0)
-    # on the learned rows (at most 2 * sample): the rate of toxic rows among those without features, and the cut
-    rows = learned.select(F.lit(None).cast("long").alias("doc_id"), "toxic", "text").mapInArrow(partial(_score, scorer=_Held(scorer)), "doc_id long, toxic long, score double").select("toxic", "score").toArrow()
-    toxic, chance = rows.column("toxic").to_numpy().astype(bool), np.clip(rows.column("score").to_numpy(), 1e-9, 1 - 1e-9)
+    # on the learned rows: the rate of toxic rows among those without features, and the cut; a score is one of a few a feature
+    scored = learned.select(F.lit(None).cast("long").alias("doc_id"), "toxic", "text").mapInArrow(partial(_score, scorer=_Held(scorer)), "doc_id long, toxic long, score double")
+    rows = scored.groupBy("score").agg(F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1")).orderBy("score").toArrow()
+    chance, n0, n1 = np.clip(rows.column("score").to_numpy(), 1e-9, 1 - 1e-9), rows.column("n0").to_numpy(), rows.column("n1").to_numpy()
     found = np.log(chance / (1 - chance))
     plain = found < -8.9
-    scorer.cut = best_cut(found[~plain], toxic[~plain])
-    scorer.without = float(np.log(((toxic & plain).sum() + 0.1) / ((~toxic & plain).sum() + 1))) + scorer.cut
+    scorer.cut = best_cut(found[~plain], n0[~plain], n1[~plain])
+    scorer.without = float(np.log((n1[plain].sum() + 0.1) / (n0[plain].sum() + 1))) + scorer.cut
     return scorer
 
 
-def best_cut(odds: np.ndarray, toxic: np.ndarray) -> float:
-    """The odds from which on calling a row toxic errs least; of equally good cuts the middle one."""
+def best_cut(odds: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> float:
+    """The odds from which on calling rows toxic errs least, given how many rows of each label have them; of equally good
+    cuts the middle one."""
     if not len(odds):
         return 0.0
     order = np.argsort(odds, kind="stable")
-    odds, toxic = odds[order], toxic[order]
+    odds, n0, n1 = odds[order], n0[order], n1[order]
     edges = np.concatenate([[odds[0] - 1], (odds[1:] + odds[:-1]) / 2, [odds[-1] + 1]])
-    errors = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([[0], np.cumsum(~toxic[::-1])])[::-1]
-    errors = np.where(np.concatenate([[True], odds[1:] > odds[:-1], [True]]), errors, len(odds) + 1)
+    errors = np.concatenate([[0], np.cumsum(n1)]) + np.concatenate([[0], np.cumsum(n0[::-1])])[::-1]
+    errors = np.where(np.concatenate([[True], odds[1:] > odds[:-1], [True]]), errors, n0.sum() + n1.sum() + 1)
     good = edges[errors == errors.min()]
     return float(good[len(good) // 2])
 
@@ -277,7 +277,7 @@ def score(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
     others = [f for f in docs.schema.fields if f.name != "text"]
     if scorer is None:
         return docs.drop("text").withColumn("score", F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded by the sample's texts: their character sequences and telling features
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # sequences of at most four letters and telling features
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "score double"])
     return docs.select(*(F.col(f"`{f.name}`") for f in others), "text").mapInArrow(partial(_score, scorer=shared), schema)
 

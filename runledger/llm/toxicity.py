@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm import textvec
-from runledger.llm.common import columns, maybe_in, stored
+from runledger.llm.common import FILTER_BITS, _marked, columns, maybe_in, stored, without
 from runledger.llm.ppm import remainder
 
 PREFIXES = (4, 5, 6, 7)
@@ -173,13 +173,19 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(grams)), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
 
 
-def _feature_counts(batches: Iterator[pa.RecordBatch], model: CharModel) -> Iterator[pa.RecordBatch]:
+def _feature_counts(batches: Iterator[pa.RecordBatch], model: CharModel, wanted=None) -> Iterator[pa.RecordBatch]:
+    """In how many texts of each label every feature is, or those that the shared bit set ``wanted`` may have."""
     cache: dict[str, str] = {}
+    wanted = None if wanted is None else wanted.value
     for batch in batches:
         body, offsets = textvec.buffers(_with_restored(batch, model, cache))
         toxic = np.array(batch.column("toxic").to_pylist(), np.int64)
         for at, to in textvec.slices(offsets):
             row, found = features(body[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            if wanted is not None:
+                place = found & np.uint64(FILTER_BITS - 1)
+                own = (wanted[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                row, found = row[own], found[own]
             pairs = np.unique(np.stack([found, row.astype(np.uint64)]), axis=1)
             kinds, place = np.unique(pairs[0], return_inverse=True)
             ones = np.bincount(place, toxic[at:to][pairs[1].astype(np.int64)], len(kinds)).astype(np.int64)
@@ -210,11 +216,33 @@ class Scorer:
         return 1 / (1 + np.exp(-(odds - self.cut)))
 
 
+def _bits(counts: DataFrame) -> np.ndarray:
+    """A bit set of the features of counts: 8 MB, whatever their number."""
+    place = F.pmod("feature", F.lit(FILTER_BITS)) + 1
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    sets = counts.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("set"))
+    for r in sets.toArrow().to_pylist():
+        part = np.frombuffer(r["set"], np.uint8)
+        out[(r["bucket"] - 1) * len(part) : r["bucket"] * len(part)] = part
+    return out
+
+
+def learnable(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """(text, toxic) of the rows of docs (doc_id, text) whose id is in marked (doc_id, toxic; one row an id).
+
+    Of the texts only those are shuffled that a bit set takes for toxic or for wrongly let through by the one before.
+    """
+    maybe = maybe_in(docs.where("text IS NOT NULL"), "doc_id", marked.select("doc_id"))
+    wrong = maybe.select("doc_id").join(marked, "doc_id", "left_anti").distinct()
+    own = _marked(without(maybe, ["doc_id"], wrong), F.col("doc_id"), marked.where("toxic = 1").select("doc_id"), FILTER_BITS)
+    checked = own.where("_hit").join(marked, "doc_id").select("text", "toxic")
+    return own.where("NOT _hit").select("text", F.lit(0).cast("long").alias("toxic")).unionByName(checked)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer | None:
     """A scorer from docs (doc_id, text) and labels (doc_id, toxic)."""
     marked = columns(labels, doc_id="doc_id", toxic="toxic").where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
-    texts = maybe_in(docs.where("text IS NOT NULL"), "doc_id", marked.select("doc_id"))
-    learned = stored(texts.join(marked, "doc_id").select("text", "toxic"), "toxic-learned")  # read four times
+    learned = stored(learnable(docs, stored(marked, "toxic-marked")), "toxic-learned")  # read five times
     grams = learned.mapInArrow(_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     if not grams.num_rows:
         return None
@@ -223,12 +251,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer | None:
     n = {r["toxic"]: r["count"] for r in totals}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     base = (n1 + 0.5) / (n0 + n1 + 1)
-    counts = learned.mapInArrow(partial(_feature_counts, model=model), "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n1 > 0")
+    counted = lambda rows, wanted=None: rows.mapInArrow(partial(_feature_counts, model=model, wanted=wanted), "feature long, n0 long, n1 long")
+    # features of toxic rows first; other rows count only those that would pass the test if no other row had them
+    ones = stored(counted(learned.where("toxic = 1")).groupBy("feature").agg(F.sum("n1").alias("n1")), "toxic-features")
+    tried = ones.count()
+    least = float(np.log(max(tried, 1)) + 1)
+    able = ones.where(F.col("n1") * -float(np.log(base)) > least * (1 - 1e-9))
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(able))
+    zeros = counted(learned.where("toxic = 0"), shared).groupBy("feature").agg(F.sum("n0").alias("n0"))
+    counts = able.join(zeros, "feature", "left").select("feature", F.coalesce("n0", F.lit(0)).alias("n0"), "n1")
     share = F.col("n1") / (F.col("n0") + F.col("n1"))
     gain = F.col("n1") * F.log(share / base) + F.when(F.col("n0") > 0, F.col("n0") * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    counts = stored(counts.withColumn("gain", gain), "toxic-features")
-    tried = counts.count()
-    kept = counts.where(share > max(base, 0.5)).where(F.col("gain") > float(np.log(max(tried, 1)) + 1)).orderBy("feature").toArrow()
+    kept = counts.where(share > max(base, 0.5)).where(gain > least).orderBy("feature").toArrow()
     n0, n1, hashes = (kept.column(c).to_numpy() for c in ("n0", "n1", "feature"))
     scorer = Scorer(model, hashes.astype(np.int64).view(np.uint64), np.log((n1 + base) / (n0 + 1 - base)), -9.0)
     # on the learned rows: the rate of toxic rows among those without features, and the cut; a score is one of a few a feature

@@ -132,7 +132,8 @@ def _mixed(docs: DataFrame, own: dict[str, str], weights, most: int, salts: int
     cells = stored(cells, "mix-cells")
     targets = source_targets(cells, weights, most)
     cells = cells.select("src", "size", "cell_n")
-    copies = _cell_copies(cells, balance(cells, targets, most), most)
+    # the plan of all fill passes is run by itself: the one that moves the rows is small
+    copies = stored(_cell_copies(cells, balance(cells, targets, most), most), "mix-copies")
     before = W.partitionBy("src", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select("src", "size", "salt", "part_n").join(copies, ["src", "size"]).withColumn("before", F.coalesce(F.sum("part_n").over(before), F.lit(0)))
     ranked = at.join(parts, ["src", "size", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("src", "size", "salt").orderBy("id")) - 1)

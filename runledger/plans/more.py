@@ -160,7 +160,7 @@ def interval_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH" + HISTORY + """, h AS (SELECT * FROM hist) SELECT unnest(['request_count', 'current_request_tokens_local', 'last_call_output_tokens']) AS feature, unnest([0, count(*) FILTER (local IS NULL), count(*) FILTER (last_call_output_tokens IS NULL)]) AS incomplete_rows,
   unnest([true, count(*) FILTER (local IS NULL) = 0, count(*) FILTER (last_call_output_tokens IS NULL) = 0]) AS complete FROM h""")
 def complete_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snaps = features.snapshots(kept(mapping.events(spark, sf_dir), "events"), kept)
+    snaps = base.requests(spark, sf_dir)
     return validate.complete_features(snaps, ("request_count", "current_request_tokens_local", "last_call_output_tokens"))
 
 

@@ -9,6 +9,7 @@ from runledger.operators import audit, features, labels, points, splits, validat
 from runledger.plans import base
 from runledger.plans.base import ATTEMPTS, CELL, HISTORY, LABELS, SALT, rounded
 from runledger.sources import mapping
+from runledger.sources.tables import kept
 
 QUERIES, ORACLES = {}, {}
 
@@ -102,7 +103,9 @@ def cell_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH" + LABELS + """, obs AS (SELECT task_id, trajectory_id, condition_id, count(*) FILTER (ordinal > 1 AND rest_status = 'observed') AS k, count(*) FILTER (ordinal > 1) AS u FROM labels0 GROUP BY ALL)
   SELECT condition_id, count(*) FILTER (k > 0) AS scored_runs, count(DISTINCT CASE WHEN k > 0 THEN task_id END)::DOUBLE AS weight_sum FROM obs GROUP BY ALL""")
 def lifecycle_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = points.lifecycle_weights(base.all_rows(spark, sf_dir).where("target = 'task_provider_accounted_remaining'"))
+    rows = base.all_rows(spark, sf_dir, history=False).where("target = 'task_provider_accounted_remaining'")
+    rows = kept(rows.select("condition_id", "target", "task_id", "trajectory_id", "position", "label_status"), "rows")
+    at = points.lifecycle_weights(rows)
     return rounded(at.groupBy("condition_id").agg(F.count_distinct(F.when(F.col("lifecycle_weight") > 0, F.col("trajectory_id"))).alias("scored_runs"), F.sum("lifecycle_weight").alias("weight_sum")))
 
 
